@@ -1,8 +1,10 @@
 """Queries of the text operators, and their SQL where SQL can express them."""
 
+from .byte_bpe import op10_byte_bpe
 from .trigram_secrets import op7_trigram_secrets
 
 QUERIES = {
+    "op10_byte_bpe": op10_byte_bpe,
     "op7_trigram_secrets": op7_trigram_secrets,
 }
 ORACLE_SQL: dict[str, str] = {}
