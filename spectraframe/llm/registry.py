@@ -1,9 +1,13 @@
 """Queries of the text operators, and their SQL where SQL can express them."""
 
 from .byte_bpe import op10_byte_bpe
+from .crf_language import op1_crf_language
+from .gam_quality import op4_gam_quality
 from .trigram_secrets import op7_trigram_secrets
 
 QUERIES = {
+    "op1_crf_language": op1_crf_language,
+    "op4_gam_quality": op4_gam_quality,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_trigram_secrets": op7_trigram_secrets,
 }
