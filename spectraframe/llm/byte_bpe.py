@@ -3,14 +3,14 @@
 Texts are dealt with in chunks of whole documents, without a shuffle:
 
 1. `_chunks` (Arrow) splits the texts of a chunk into words by the pattern, vectorised over code points, and
-   gives one row: the distinct words and, per document, the numbers of its words.
-2. Spark encodes each distinct word: `aggregate` folds merges over the array of its byte pieces, always the
-   leftmost pair of least rank, looking ranks up in a literal map. The map is a literal array of small maps,
-   indexed by CRC-32, as a lookup in one literal map of 50,000 entries would scan it. Decoding joins the pieces
-   that a literal array holds at the ids.
+   gives one row: the distinct words, as byte arrays of two-byte ids of their bytes, and the numbers of the
+   words of every document.
+2. Spark encodes each distinct word: `aggregate` folds merges over its byte array, always the leftmost pair of
+   least rank. Ranks come from a literal map in one byte array, laid out by perfect hashing (CRC-32 with
+   displacements): a lookup takes two slices of it, where a literal of map type would be searched from its start
+   and would be built again, object by object, in each task. As a merged pair's rank is its id, ranks and ids are
+   the same two bytes, and byte order is rank order. Decoding joins the binary pieces that a literal array holds.
 3. `_assemble` (Arrow) lays the words' ids and pieces side by side for each document.
-
-Pieces are strings in which each character is one byte (ISO-8859-1), so joining strings joins bytes.
 """
 
 from __future__ import annotations
@@ -32,9 +32,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Characters of text in a chunk (a longer single text is a chunk of its own).
-CHUNK_CHARS = 16 << 20
-BUCKETS = 1 << 16
-_NONE = 2147483647
+CHUNK_CHARS = 32 << 20
 
 # --- words -----------------------------------------------------------------------------------------
 
@@ -95,57 +93,60 @@ class Splitter:
 
 
 class _Chunk:
+    """Documents gathered so far, with the distinct words in order of appearance."""
+
     def __init__(self) -> None:
-        self.rows, self.hashes, self.counts, self.first, self.chars = [], [], [], {}, 0
-
-    def flush(self) -> pa.RecordBatch | None:
-        if not self.rows:
-            return None
-        ids = pa.concat_arrays([x for x in self.rows])
-        h = np.concatenate(self.hashes) if self.hashes else np.zeros(0, C.U64)
-        distinct, codes = np.unique(h, return_inverse=True)
-        words = [self.first[x] for x in distinct.tolist()]
-        n = np.concatenate(self.counts).astype(np.int64)
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                pa.array([n.tobytes()], pa.binary()),
-                pa.array([codes.astype(np.int32).tobytes()], pa.binary()),
-                pa.array([words], pa.list_(pa.string())),
-            ],
+        self.ids, self.codes, self.counts, self.words, self.known, self.chars = [], [], [], [], {}, 0
+
+    def row(self) -> pa.RecordBatch:
+        ids = pa.concat_arrays(self.ids)
+        codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
+        one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t) if isinstance(x, list) else x)
+        return pa.RecordBatch.from_arrays(
+            [one(ids, None), pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), one(self.words, pa.binary())],
             names=["doc_ids", "counts", "codes", "words"],
         )
-        self.__init__()
-        return out
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split, powers, chunk = Splitter(), C.Powers(), _Chunk()
-    salt = C.mix(np.arange(256, dtype=C.U64), 3)
-    for whole in batches:
-        for batch in C.slices(whole):
-            column = pc.fill_null(batch.column("text"), "")
-            lengths = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-            if chunk.chars and chunk.chars + int(lengths.sum()) > CHUNK_CHARS:
-                yield chunk.flush()
-            text = "".join(column.to_pylist())
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            starts, at = split(points, offsets)
-            ends = np.append(starts[1:], len(points)) if len(starts) else starts
-            values = salt[points & 255] + (points >> np.uint32(8)).astype(C.U64) * C.U64(0xA0761D6478BD642F)
-            h = C.hash_spans(values, starts, ends, powers)
-            new, where = np.unique(h, return_index=True)
-            first = chunk.first
-            for x, s, e in zip(new.tolist(), starts[where].tolist(), ends[where].tolist()):
-                if x not in first:
-                    first[x] = text[s:e].encode().decode("latin-1")
-            chunk.rows.append(batch.column("doc_id"))
-            chunk.hashes.append(h)
-            chunk.counts.append(np.diff(at))
-            chunk.chars += int(lengths.sum())
-    if (last := chunk.flush()) is not None:
-        yield last
+
+
+def _chunker(ranks: dict[bytes, int]):
+    """The Arrow function of step 1. A word that is a piece itself begins, and stays, as that piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, powers, chunk = Splitter(), C.Powers(), _Chunk()
+        salt = C.mix(np.arange(256, dtype=C.U64), 3)
+        single = [ranks[bytes([i])].to_bytes(2, "big") for i in range(256)]
+        for whole in batches:
+            for batch in C.slices(whole):
+                column = pc.fill_null(batch.column("text"), "")
+                lengths = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+                if chunk.chars and chunk.chars + int(lengths.sum()) > CHUNK_CHARS:
+                    yield chunk.row()
+                    chunk = _Chunk()
+                text = "".join(column.to_pylist())
+                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                starts, at = split(points, np.concatenate([[0], np.cumsum(lengths)]))
+                ends = np.append(starts[1:], len(points)) if len(starts) else starts
+                values = salt[points & 255] + (points >> np.uint32(8)).astype(C.U64) * C.U64(0xA0761D6478BD642F)
+                h = C.hash_spans(values, starts, ends, powers)
+                new, where, back = np.unique(h, return_index=True, return_inverse=True)
+                own = np.empty(len(new), np.int32)
+                known, words = chunk.known, chunk.words
+                for i, (x, s, e) in enumerate(zip(new.tolist(), starts[where].tolist(), ends[where].tolist())):
+                    code = known.get(x)
+                    if code is None:
+                        known[x] = code = len(words)
+                        word = text[s:e].encode()
+                        whole_piece = ranks.get(word)
+                        words.append(whole_piece.to_bytes(2, "big") if whole_piece is not None else b"".join([single[b] for b in word]))
+                    own[i] = code
+                chunk.ids.append(batch.column("doc_id"))
+                chunk.codes.append(own[back] if len(new) else np.zeros(0, np.int32))
+                chunk.counts.append(np.diff(at).astype(np.int64))
+                chunk.chars += int(lengths.sum())
+        if chunk.ids:
+            yield chunk.row()
+
+    return run
 
 
 # --- merges as higher-order functions -----------------------------------------------------------------
@@ -162,63 +163,103 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _literals(ranks: dict[bytes, int]) -> tuple[Column, Column]:
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for k, v in ranks.items():
-        s = k.decode("latin-1")
-        buckets[zlib.crc32(s.encode()) % BUCKETS][s] = v
-    pieces = [""] * (max(ranks.values()) + 1)
-    for k, v in ranks.items():
-        pieces[v] = k.decode("latin-1")
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>"), F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+_NONE = b"\xff\xff"  # above every rank
+
+
+class RankMap:
+    """A literal map from pairs of ids (four bytes) to ranks (two bytes), without collisions."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        if max(ranks.values()) >= 0xFFFF:
+            raise ValueError("ids must fit in two bytes")
+        pairs = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if a is not None and b is not None:
+                    pairs[a.to_bytes(2, "big") + b.to_bytes(2, "big")] = rank.to_bytes(2, "big")
+        self.groups, self.slots = len(pairs) // 3 + 1, int(len(pairs) * 1.3) + 1
+        groups: dict[int, list[bytes]] = {}
+        for k in pairs:
+            groups.setdefault(zlib.crc32(k) % self.groups, []).append(k)
+        used, moves, table = bytearray(self.slots), bytearray(2 * self.groups), bytearray(_NONE * (3 * self.slots))
+        for g, keys in sorted(groups.items(), key=lambda x: -len(x[1])):
+            for d in range(1 << 16):
+                move = d.to_bytes(2, "big")
+                to = [zlib.crc32(k + move) % self.slots for k in keys]
+                if len(set(to)) == len(to) and not any(used[x] for x in to):
+                    break
+            else:
+                raise ValueError("no perfect hash")  # not met below a load of 0.8
+            moves[2 * g : 2 * g + 2] = move
+            for k, x in zip(keys, to):
+                used[x] = 1
+                table[6 * x : 6 * x + 6] = k + pairs[k]
+        self.moves, self.table = moves, table
+
+    def __call__(self, pair: Column) -> Column:
+        """The rank of a pair, or _NONE."""
+        none, sub = F.lit(bytearray(_NONE)), F.substring
+
+        def find(key: Column) -> Column:
+            move = sub(F.lit(self.moves), (F.pmod(F.crc32(key), F.lit(self.groups)) * 2 + 1).cast("int"), F.lit(2))
+            entry = sub(F.lit(self.table), (F.pmod(F.crc32(F.concat(key, move)), F.lit(self.slots)) * 6 + 1).cast("int"), F.lit(6))
+            return _let(entry, lambda e: F.when(sub(e, F.lit(1), F.lit(4)) == key, sub(e, F.lit(5), F.lit(2))).otherwise(none))
 
+        return _let(pair, find)
 
-def encode_words(words: Column, ranks: Column) -> Column:
-    """array<array<int>>: the ids of each word. ranks: the literal array of maps."""
 
-    def rank(piece: Column) -> Column:
-        return F.get(ranks, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int"))[piece]
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def pair(piece: Column) -> Column:
-        return F.coalesce(rank(piece), F.lit(_NONE))
+
+def encode_words(words: Column, rank: RankMap) -> Column:
+    """array<binary>: for words as arrays of two-byte ids, their ids after all merges."""
+    none, sub, nothing = F.lit(bytearray(_NONE)), F.substring, F.array().cast("array<binary>")
 
     def merge(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
+        """One merge of state (ids: bytes, ranks of the neighbouring pairs: array), the leftmost of least rank."""
+        ids, ranks = acc["ids"], acc["ranks"]
 
-        def at(i: Column) -> Column:  # i: 1-based place of the pair, the leftmost of least rank
-            both = F.concat(F.get(p, i - 1), F.get(p, i))
+        def at(i: Column, low: Column) -> Column:  # i: 1-based place of the pair; its rank is the id of what it becomes
+            left = F.when(i > 1, F.array(rank(F.concat(sub(ids, 2 * i - 3, F.lit(2)), low)))).otherwise(nothing)
+            right = F.when(i < F.size(ranks), F.array(rank(F.concat(low, sub(ids, 2 * i + 3, F.lit(2)))))).otherwise(nothing)
             return F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(both), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(
-                    F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                    F.when(i > 1, F.array(pair(F.concat(F.get(p, i - 2), both)))).otherwise(F.array().cast("array<int>")),
-                    F.when(i + 1 < F.size(p), F.array(pair(F.concat(both, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>")),
-                    F.slice(r, i + 2, F.size(r)),
-                ).alias("r"),
+                F.concat(sub(ids, F.lit(1), 2 * i - 2), low, sub(ids, 2 * i + 3, F.length(ids))).alias("ids"),
+                F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(ranks, i + 2, F.size(ranks))).alias("ranks"),
             )
 
-        low = F.array_min(r)
-        place = F.transform(F.array(F.array_position(r, low).cast("int")), at)
-        return F.when(F.coalesce(low, F.lit(_NONE)) == _NONE, acc).otherwise(F.get(place, F.lit(0)))
+        def step(low: Column) -> Column:
+            place = F.array_position(ranks, low).cast("int")
+            return F.when(low == none, acc).otherwise(_let(place, lambda i: at(i, low)))
+
+        return _let(F.coalesce(F.array_min(ranks), none), step)
 
     def fold(word: Column) -> Column:
-        n = F.length(word)
-        pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(F.substring(word, i, F.lit(2))))
-        start = F.struct(pieces.alias("p"), pairs.alias("r"))
-        return F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda acc: F.transform(acc["p"], rank))
+        n = (F.length(word) / 2).cast("int")
+        ranks = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(sub(word, 2 * i - 1, F.lit(4))))
+        start = F.struct(word.alias("ids"), ranks.alias("ranks"))
+        return F.when(n <= 1, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda acc: acc["ids"]))
 
-    def one(word: Column) -> Column:
-        whole = rank(word)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(word))
+    return F.transform(words, fold)
 
-    return F.transform(words, one)
 
+def decode_words(coded: Column, pieces: Column) -> Column:
+    """array<binary>: the bytes of each word, its ids' pieces one after the other. pieces: array<binary> by id."""
 
-def decode_words(ids: Column, pieces: Column) -> Column:
-    """array<binary>: the bytes of each word's ids, the concatenation of their pieces."""
-    join = lambda one: F.encode(F.array_join(F.transform(one, lambda i: F.get(pieces, i)), ""), "ISO-8859-1")
-    return F.transform(ids, join)
+    def one(ids: Column) -> Column:
+        piece = lambda i: F.get(pieces, F.conv(F.hex(F.substring(ids, 2 * i - 1, F.lit(2))), 16, 10).cast("int"))
+        return F.aggregate(F.sequence(F.lit(1), (F.length(ids) / 2).cast("int")), F.lit(bytearray()), lambda acc, i: F.concat(acc, piece(i)))
+
+    return F.transform(coded, one)
+
+
+def _pieces(ranks: dict[bytes, int]) -> Column:
+    out = [""] * (max(ranks.values()) + 1)
+    for k, v in ranks.items():
+        out[v] = base64.b64encode(k).decode()
+    return F.from_json(F.lit(json.dumps(out)), "array<binary>")
 
 
 def _assemble(full: bool):
@@ -230,8 +271,8 @@ def _assemble(full: bool):
                 counts = np.frombuffer(row.column("counts")[0].as_py(), np.int64)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
                 per_word = row.column("ids").flatten()
-                sizes = pc.list_value_length(per_word).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = per_word.flatten().to_numpy(zero_copy_only=False)
+                flat = np.frombuffer(b"".join(per_word.to_pylist()), ">u2").astype(np.int32)
+                sizes = pc.binary_length(per_word).to_numpy(zero_copy_only=False).astype(np.int64) // 2
                 ends = np.cumsum(sizes)
                 numbers = [str(x) for x in flat.tolist()]
                 said = [" ".join(numbers[e - n : e]).encode() for e, n in zip(ends.tolist(), sizes.tolist())]
@@ -265,12 +306,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, full: bool = Fals
     and null ids are kept; other columns are ignored; an empty table gives an empty result. path: a rank file of
     the public tokenizers, byte_bpe_50k.tiktoken by default.
     """
-    ranks, pieces = _literals(read_ranks(path or default_path()))
+    ranks = read_ranks(path or default_path())
     chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _chunks, "doc_ids array<long>, counts binary, codes binary, words array<string>"
+        _chunker(ranks), "doc_ids array<long>, counts binary, codes binary, words array<binary>"
     )
-    coded = chunks.withColumn("ids", encode_words(F.col("words"), ranks)).drop("words")
-    coded = coded.withColumn("pieces", decode_words(F.col("ids"), pieces))
+    coded = chunks.withColumn("ids", encode_words(F.col("words"), RankMap(ranks))).drop("words")
+    coded = coded.withColumn("pieces", decode_words(F.col("ids"), _pieces(ranks)))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return coded.mapInArrow(_assemble(full), schema + ", ids array<int>, decoded binary" * full)
 
