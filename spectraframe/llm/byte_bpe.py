@@ -2,9 +2,11 @@
 
 Texts are dealt with in chunks of whole documents, without a shuffle:
 
-1. `_chunks` (Arrow) splits the texts of a chunk into words by the pattern, vectorised over code points, and
-   gives one row: the distinct words, as byte arrays of two-byte ids of their bytes, and the numbers of the
-   words of every document.
+0. The words of a bounded sample of documents are encoded once, as in step 2, and their ids are kept in a cache
+   of at most CACHE_WORDS words that every task has. It saves work on frequent words and changes no result.
+1. `_chunker` (Arrow) splits the texts of a chunk into words by the pattern, vectorised over code points, and
+   gives one row: the chunk's distinct words, as byte arrays of two-byte ids of their bytes, those in the cache
+   as their final ids, and the numbers of the words of every document.
 2. Spark encodes each distinct word: `aggregate` folds merges over its byte array, always the leftmost pair of
    least rank. Ranks come from a literal map in one byte array, laid out by perfect hashing (CRC-32 with
    displacements): a lookup takes two slices of it, where a literal of map type would be searched from its start
@@ -20,6 +22,8 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -32,7 +36,9 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Characters of text in a chunk (a longer single text is a chunk of its own).
-CHUNK_CHARS = 32 << 20
+CHUNK_CHARS = 8 << 20
+#: Words in the cache, at most, and documents of the sample that they come from, on average.
+CACHE_WORDS, CACHE_DOCS = 1 << 20, 40_000
 
 # --- words -----------------------------------------------------------------------------------------
 
@@ -40,23 +46,25 @@ _LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
 _CONTRACTED = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
-def _classes() -> np.ndarray:
-    """The class of every code point, as the pattern's own engine sees it."""
-    out = np.full(0x110000, _OTHER, np.uint8)
+@lru_cache(maxsize=1)
+def class_runs() -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all code points, as the pattern's own engine sees them: classes of runs, and their lengths."""
+    kinds = np.full(0x110000, _OTHER, np.uint8)
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     every = "".join(map(chr, points))
     at = np.array(points)
     for kind, expr in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(expr, every):
-            out[at[m.start() : m.end()]] = kind
-    return out
+            kinds[at[m.start() : m.end()]] = kind
+    begins = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
+    return kinds[begins], np.diff(np.append(begins, len(kinds)))
 
 
 class Splitter:
     """Splits texts as public_tokenizers.PATTERN does, vectorised; words come as spans of code points."""
 
-    def __init__(self) -> None:
-        self.classes = _classes()
+    def __init__(self, runs: tuple[np.ndarray, np.ndarray]) -> None:
+        self.classes = np.repeat(*runs)
 
     def __call__(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the words, ascending (each ends where the next begins), and offsets of documents among them."""
@@ -92,63 +100,145 @@ class Splitter:
         return starts, np.searchsorted(starts, offsets)
 
 
+class _Words:
+    """Words of batches of texts, as spans with 64-bit hashes."""
+
+    def __init__(self, runs: tuple[np.ndarray, np.ndarray]) -> None:
+        self.split, self.powers, self.salt = Splitter(runs), C.Powers(), C.mix(np.arange(256, dtype=C.U64), 3)
+
+    def __call__(self, column: pa.Array):
+        column = pc.fill_null(column, "")
+        lengths = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = "".join(column.to_pylist())
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        starts, at = self.split(points, np.concatenate([[0], np.cumsum(lengths)]))
+        ends = np.append(starts[1:], len(points)) if len(starts) else starts
+        values = self.salt[points & 255] + (points >> np.uint32(8)).astype(C.U64) * C.U64(0xA0761D6478BD642F)
+        return text, starts, ends, at, C.hash_spans(values, starts, ends, self.powers)
+
+
+@dataclass
+class Cache:
+    """Words that are encoded already: sorted hashes, and the words' bytes and final ids one after the other."""
+
+    hashes: np.ndarray
+    words: bytes
+    word_ends: np.ndarray
+    ids: bytes
+    id_ends: np.ndarray
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def get(self, i: int, word: bytes) -> bytes | None:
+        """The ids of the word at a place, unless another word has the same hash."""
+        if self.words[self.word_ends[i - 1] if i else 0 : self.word_ends[i]] != word:
+            return None
+        return self.ids[self.id_ends[i - 1] if i else 0 : self.id_ends[i]]
+
+
 class _Chunk:
-    """Documents gathered so far, with the distinct words in order of appearance."""
+    """Documents gathered so far; distinct words are numbered by appearance, words of the cache downwards from -1."""
 
     def __init__(self) -> None:
-        self.ids, self.codes, self.counts, self.words, self.known, self.chars = [], [], [], [], {}, 0
+        self.ids, self.codes, self.counts, self.words, self.coded, self.known, self.chars = [], [], [], [], [], {}, 0
 
     def row(self) -> pa.RecordBatch:
         ids = pa.concat_arrays(self.ids)
         codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
         one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t) if isinstance(x, list) else x)
+        data = lambda x: pa.array([x.tobytes()], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [one(ids, None), pa.array([counts.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), one(self.words, pa.binary())],
-            names=["doc_ids", "counts", "codes", "words"],
+            [one(ids, None), data(counts), data(codes), one(self.words, pa.binary()), one(self.coded, pa.binary())],
+            names=["doc_ids", "counts", "codes", "words", "coded"],
         )
 
 
-def _chunker(ranks: dict[bytes, int]):
-    """The Arrow function of step 1. A word that is a piece itself begins, and stays, as that piece."""
+_CHUNK_SCHEMA = "doc_ids array<long>, counts binary, codes binary, words array<binary>, coded array<binary>"
+
+
+def _start(word: bytes, ranks: dict[bytes, int], single: list[bytes]) -> bytes:
+    """Two-byte ids of the word's bytes; a word that is a piece itself begins, and stays, as that piece."""
+    piece = ranks.get(word)
+    return piece.to_bytes(2, "big") if piece is not None else b"".join([single[b] for b in word])
+
+
+def _chunker(ranks: dict[bytes, int], cache: Cache, runs):
+    """The Arrow function of step 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, powers, chunk = Splitter(), C.Powers(), _Chunk()
-        salt = C.mix(np.arange(256, dtype=C.U64), 3)
+        split, chunk = _Words(runs), _Chunk()
         single = [ranks[bytes([i])].to_bytes(2, "big") for i in range(256)]
         for whole in batches:
             for batch in C.slices(whole):
-                column = pc.fill_null(batch.column("text"), "")
-                lengths = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-                if chunk.chars and chunk.chars + int(lengths.sum()) > CHUNK_CHARS:
+                text, starts, ends, at, h = split(batch.column("text"))
+                if chunk.chars and chunk.chars + len(text) > CHUNK_CHARS:
                     yield chunk.row()
                     chunk = _Chunk()
-                text = "".join(column.to_pylist())
-                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-                starts, at = split(points, np.concatenate([[0], np.cumsum(lengths)]))
-                ends = np.append(starts[1:], len(points)) if len(starts) else starts
-                values = salt[points & 255] + (points >> np.uint32(8)).astype(C.U64) * C.U64(0xA0761D6478BD642F)
-                h = C.hash_spans(values, starts, ends, powers)
                 new, where, back = np.unique(h, return_index=True, return_inverse=True)
                 own = np.empty(len(new), np.int32)
-                known, words = chunk.known, chunk.words
-                for i, (x, s, e) in enumerate(zip(new.tolist(), starts[where].tolist(), ends[where].tolist())):
+                known, words, coded = chunk.known, chunk.words, chunk.coded
+                for i, (x, s, e, c) in enumerate(zip(new.tolist(), starts[where].tolist(), ends[where].tolist(), cache.find(new).tolist())):
                     code = known.get(x)
                     if code is None:
-                        known[x] = code = len(words)
                         word = text[s:e].encode()
-                        whole_piece = ranks.get(word)
-                        words.append(whole_piece.to_bytes(2, "big") if whole_piece is not None else b"".join([single[b] for b in word]))
+                        ids = cache.get(c, word) if c >= 0 else None
+                        if ids is None:
+                            code = len(words)
+                            words.append(_start(word, ranks, single))
+                        else:
+                            coded.append(ids)
+                            code = -len(coded)
+                        known[x] = code
                     own[i] = code
                 chunk.ids.append(batch.column("doc_id"))
                 chunk.codes.append(own[back] if len(new) else np.zeros(0, np.int32))
                 chunk.counts.append(np.diff(at).astype(np.int64))
-                chunk.chars += int(lengths.sum())
+                chunk.chars += len(text)
         if chunk.ids:
             yield chunk.row()
 
     return run
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _cache(docs: DataFrame, ranks: dict[bytes, int], rank: RankMap, runs) -> Cache:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = _Words(runs)
+        single = [ranks[bytes([i])].to_bytes(2, "big") for i in range(256)]
+        for whole in batches:
+            for batch in C.slices(whole):
+                text, starts, ends, _, h = split(batch.column("text"))
+                new, where, n = np.unique(h, return_index=True, return_counts=True)
+                words = [text[s:e].encode() for s, e in zip(starts[where].tolist(), ends[where].tolist())]
+                cols = [pa.array(new.view(np.int64)), pa.array(words, pa.binary()), pa.array([_start(w, ranks, single) for w in words], pa.binary()), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "word", "start", "n"])
+
+    few = _plain(docs).where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, CACHE_DOCS / max(1, docs.count()))))
+    words = few.mapInArrow(run, "h long, word binary, start binary, n long").groupBy("h").agg(F.min("word").alias("word"), F.min_by("start", "word").alias("start"), F.sum("n").alias("n"))
+    words = C.materialize(words, "words")
+    sizes = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
+    least, total = 1, 0
+    for n, count in sizes:  # the most frequent words, as many as fit
+        total += count
+        if total > CACHE_WORDS:
+            least = n + 1
+            break
+    got = words.where(F.col("n") >= least).select("h", "word", encode_words(F.array("start"), rank)[0].alias("ids")).toArrow()
+    order = np.argsort(got["h"].to_numpy().view(C.U64)) if got.num_rows else np.zeros(0, np.int64)
+    got = got.take(pa.array(order)).combine_chunks()
+    parts = {c: got[c].to_pylist() for c in ("word", "ids")}
+    ends = {c: np.cumsum([len(x) for x in v], dtype=np.int64) for c, v in parts.items()}
+    return Cache(got["h"].to_numpy().view(C.U64), b"".join(parts["word"]), ends["word"], b"".join(parts["ids"]), ends["ids"])
+
+
 # --- merges as higher-order functions -----------------------------------------------------------------
 
 
@@ -264,19 +354,22 @@ def _pieces(ranks: dict[bytes, int]) -> Column:
 
 def _assemble(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [str(i).encode() for i in range(1 << 16)]
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
                 ids = row.column("doc_ids").flatten()
                 counts = np.frombuffer(row.column("counts")[0].as_py(), np.int64)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
-                per_word = row.column("ids").flatten()
-                flat = np.frombuffer(b"".join(per_word.to_pylist()), ">u2").astype(np.int32)
-                sizes = pc.binary_length(per_word).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+                # Words by number: those just encoded, then those of the cache backwards, as they have numbers from -1 down.
+                words = row.column("ids").flatten().to_pylist() + row.column("coded").flatten().to_pylist()[::-1]
+                flat = np.frombuffer(b"".join(words), ">u2").astype(np.int32)
+                sizes = np.array([len(w) for w in words], np.int64) // 2
                 ends = np.cumsum(sizes)
-                numbers = [str(x) for x in flat.tolist()]
-                said = [" ".join(numbers[e - n : e]).encode() for e, n in zip(ends.tolist(), sizes.tolist())]
-                pieces = row.column("pieces").flatten().to_pylist()
+                pieces = row.column("pieces").flatten().to_pylist() + row.column("coded_pieces").flatten().to_pylist()[::-1]
+                ids_of = flat.tolist()
+                said = [b" ".join([names[x] for x in ids_of[e - n : e]]) for e, n in zip(ends.tolist(), sizes.tolist())]
+                del ids_of
                 at, out = 0, []
                 for n in counts.tolist():
                     own = codes[at : at + n]
@@ -293,8 +386,8 @@ def _assemble(full: bool):
                     if part:
                         cols = list(zip(*part))
                         types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
-                        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-                        yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), *(pa.array(c, t) for c, t in zip(cols, types))], names=names[: 1 + len(cols)])
+                        fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+                        yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), *(pa.array(c, t) for c, t in zip(cols, types))], names=fields[: 1 + len(cols)])
 
     return run
 
@@ -306,12 +399,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, full: bool = Fals
     and null ids are kept; other columns are ignored; an empty table gives an empty result. path: a rank file of
     the public tokenizers, byte_bpe_50k.tiktoken by default.
     """
-    ranks = read_ranks(path or default_path())
-    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _chunker(ranks), "doc_ids array<long>, counts binary, codes binary, words array<binary>"
-    )
-    coded = chunks.withColumn("ids", encode_words(F.col("words"), RankMap(ranks))).drop("words")
-    coded = coded.withColumn("pieces", decode_words(F.col("ids"), _pieces(ranks)))
+    ranks, runs = read_ranks(path or default_path()), class_runs()
+    rank, pieces = RankMap(ranks), _pieces(ranks)
+    chunks = _plain(docs).mapInArrow(_chunker(ranks, _cache(docs, ranks, rank, runs), runs), _CHUNK_SCHEMA)
+    coded = chunks.withColumn("ids", encode_words(F.col("words"), rank)).drop("words")
+    coded = coded.withColumns({"pieces": decode_words(F.col("ids"), pieces), "coded_pieces": decode_words(F.col("coded"), pieces)})
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return coded.mapInArrow(_assemble(full), schema + ", ids array<int>, decoded binary" * full)
 

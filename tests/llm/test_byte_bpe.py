@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from spectraframe.llm import byte_bpe as B
 
 PATTERN = regex.compile(P.PATTERN)
-SPLIT = B.Splitter()
+SPLIT = B.Splitter(B.class_runs())
 
 
 def split(texts):
@@ -50,3 +50,12 @@ def test_equals_tiktoken_and_round_trips(spark):
 
 def test_empty_table(spark):
     assert B.encode_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_cache_changes_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    want = sorted(map(tuple, B.encode_documents(df).collect()))
+    monkeypatch.setattr(B, "CACHE_WORDS", 20)
+    assert sorted(map(tuple, B.encode_documents(df).collect())) == want
+    monkeypatch.setattr(B, "CACHE_DOCS", 0)
+    assert sorted(map(tuple, B.encode_documents(df).collect())) == want
