@@ -227,3 +227,54 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     low = cur.groupBy("u").agg(F.min("v").alias("component_id"))
     roots = cur.select(F.col("v").alias("id")).distinct().withColumn("component_id", F.col("id"))
     return low.withColumnRenamed("u", "id").union(roots).groupBy("id").agg(F.min("component_id").alias("component_id"))
+
+
+def star_links(rows: DataFrame, verify, threshold: float) -> DataFrame:
+    """Links (a, b, sim) of similarity `threshold` or more in buckets, without all pairs: rows(key long, id long).
+
+    verify(pairs(a, b)) gives the exact similarity `sim` of each pair, one minus which must be a metric. Rounds:
+
+    - Each bucket's leader is the pending id that meets the most others over all its buckets (the middle of a
+      group of edited copies meets more of them than the copies do); all ids of the bucket are compared with it.
+    - Ids that match are settled. Ids that don't stay pending for the next round. By the triangle inequality a
+      settled id can only match a pending one if their similarities to the leader differ by at most
+      1 - threshold; settled ids for which that may hold stay to be compared with the next leaders.
+    - From the second round on, 2, 4, 8... leaders are taken by hash, so that a bucket of m ids of which none match
+      is done in log m rounds. Rounds end when no bucket holds a pending id and another.
+
+    Leaders come from grouped maxima and comparisons from equi-joins; no bucket is gathered in one task.
+    """
+    multi = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    cur = materialize(rows.join(multi, "key", "left_semi").select("key", "id").distinct(), "near")
+    size = cur.groupBy("key").agg(F.count("*").alias("n"))
+    weight = cur.join(size, "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    cur = cur.join(weight, "id").select("key", "id", "weight", F.lit(True).alias("pending"))
+    found = []
+    for turn in range(64):
+        cur = materialize(cur, "near")
+        rank = F.struct("weight", (-F.col("id")).alias("minus"))
+        heads = cur.groupBy("key").agg(F.count("*").alias("n"), F.count_if("pending").alias("p"), F.max(F.when(F.col("pending"), rank)).alias("top"))
+        heads = heads.where("n > 1 and p > 0").select("key", "p", (-F.col("top.minus")).alias("top"))
+        by_hash = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.greatest(F.floor(F.col("p") / (1 << turn)), F.lit(1))) == 0
+        lead = cur.where("pending").join(heads, "key").where((F.col("id") == F.col("top")) | (F.lit(turn > 0) & by_hash)).select("key", F.col("id").alias("lead"))
+        near = materialize(cur.join(lead, "key").where("id <> lead").select("*", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")), "near")
+        if near.isEmpty():
+            break
+        sims = materialize(verify(near.select("a", "b").distinct()).select("a", "b", "sim"), "sims")
+        found.append(sims.where(F.col("sim") >= threshold))
+        got = materialize(near.join(sims, ["a", "b"]).join(lead.withColumnsRenamed({"lead": "id"}).withColumn("led", F.lit(True)), ["key", "id"], "left").select("key", "id", "weight", "pending", "lead", "sim", F.coalesce("led", F.lit(False)).alias("led")), "got")
+        best = got.where("not led").groupBy("key", "id").agg(F.max("weight").alias("weight"), F.max("pending").alias("pending"), F.max("sim").alias("best"))
+        wait = materialize(best.where(F.col("pending") & (F.col("best") < threshold)).select("key", "id", "weight", "pending"), "wait")
+        if wait.isEmpty():
+            break
+        closest = got.join(wait.select("key", "id"), ["key", "id"], "left_semi").groupBy("key", "lead").agg(F.max("sim").alias("closest"))
+        rest = got.where("not led").join(wait.select("key", "id"), ["key", "id"], "left_anti").join(closest, ["key", "lead"])
+        rest = rest.groupBy("key", "id").agg(F.max("weight").alias("weight"), F.max(F.col("sim") - F.col("closest")).alias("over"))
+        rest = rest.where(F.col("over") <= 1 - threshold + 1e-9).select("key", "id", "weight", F.lit(False).alias("pending"))
+        cur = wait.unionByName(rest)
+    if not found:
+        return rows.sparkSession.createDataFrame([], "a long, b long, sim double")
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()

@@ -138,6 +138,8 @@ class Model:
     def predict(self, column: pa.Array, features: WordFeatures) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the words by labels, and offsets of documents among them."""
         at, n, single, grams = features(column)
+        if not self.labels:
+            return np.zeros((n, 0)), at
         first = np.zeros(n, bool)
         first[at[:-1][np.diff(at) > 0]] = True
         p, _, _ = forward_backward(emissions(self.weights, n, single, grams), np.exp(self.step), np.exp(self.start), first)
