@@ -4,6 +4,7 @@ from .byte_bpe import op10_byte_bpe
 from .crf_language import op1_crf_language
 from .fuzzy_lines import op9_fuzzy_lines
 from .gam_quality import op4_gam_quality
+from .icws_minhash import op5_icws_minhash
 from .spaced_seeds import op8_spaced_seeds
 from .trigram_secrets import op7_trigram_secrets
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_gam_quality": op4_gam_quality,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_fuzzy_lines": op9_fuzzy_lines,
+    "op5_icws_minhash": op5_icws_minhash,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_trigram_secrets": op7_trigram_secrets,
 }
