@@ -2,6 +2,7 @@
 
 from .byte_bpe import op10_byte_bpe
 from .crf_language import op1_crf_language
+from .cross_polytope import op6_cross_polytope
 from .fuzzy_lines import op9_fuzzy_lines
 from .gam_quality import op4_gam_quality
 from .icws_minhash import op5_icws_minhash
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op5_icws_minhash": op5_icws_minhash,
+    "op6_cross_polytope": op6_cross_polytope,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_trigram_secrets": op7_trigram_secrets,
 }
