@@ -7,6 +7,7 @@ from .fuzzy_lines import op9_fuzzy_lines
 from .gam_quality import op4_gam_quality
 from .icws_minhash import op5_icws_minhash
 from .spaced_seeds import op8_spaced_seeds
+from .suffix_groups import op3_suffix_groups
 from .template_html import op2_template_html
 from .trigram_secrets import op7_trigram_secrets
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_icws_minhash": op5_icws_minhash,
     "op6_cross_polytope": op6_cross_polytope,
     "op2_template_html": op2_template_html,
+    "op3_suffix_groups": op3_suffix_groups,
     "op10_byte_bpe": op10_byte_bpe,
     "op7_trigram_secrets": op7_trigram_secrets,
 }
