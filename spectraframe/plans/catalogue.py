@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -544,3 +546,76 @@ def convert_counters(spark, sf_dir):
 def skip_existing(spark, sf_dir):
     done = A.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return A.table(spark, sf_dir, "part").select("p_partkey").join(done, "p_partkey", "left_anti")
+
+
+# --- stored runs and arrays as text ---------------------------------------------------------------------------
+
+
+def _vectors_as_runs(spark, sf_dir):
+    """Embeddings as spectra: a run for each label, m/z from 100 in steps of a half, the vector as intensity."""
+    from pyspark.sql import Window
+
+    e = A.table(spark, sf_dir, "embeddings")
+    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    mz = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.lit(100.0) + F.lit(0.5) * i)
+    one = lambda k, d, v: F.struct(F.lit(k).alias("accession"), F.lit(d).alias("dtype"), v.alias("values"))
+    arrays = F.array(one(1000514, 1, mz), one(1000515, 2, fn.widen(F.col("embedding"))))
+    return e.select(F.col("label").cast("string").alias("source_path"), n.cast("long").alias("spectrum_index"), F.col("vec_id").cast("string").alias("id"), F.lit(1.0).alias("rt"), arrays.alias("arrays"))
+
+
+@_query("SELECT CAST(label AS VARCHAR) AS run, vec_id, i - 1 AS pos, CAST(100 + 0.5 * (i - 1) AS DOUBLE) AS mz, CAST(embedding[i] AS DOUBLE) AS intensity FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding)")
+def runfile_round_trip(spark, sf_dir):
+    """Runs written as binary files and read again: every point of every array."""
+    from ..sinks import runfile as sink
+    from ..sources import runfile as source
+
+    runs = _vectors_as_runs(spark, sf_dir)
+    contents = sink.files(runs, level=3).withColumnRenamed("run", "path")
+    got = source.read_contents(contents, "arrays")
+    pairs = scans.pair_axes(fn.first_array(F.col("arrays"), 1000514), fn.first_array(F.col("arrays"), 1000515))
+    points = got.select("source_path", "spectrum_index", F.posexplode(pairs).alias("pos", "p"))
+    out = points.join(runs.select("source_path", "spectrum_index", F.col("id").cast("long").alias("vec_id")), ["source_path", "spectrum_index"])
+    return out.select(F.col("source_path").alias("run"), "vec_id", F.col("pos").cast("long").alias("pos"), F.col("p.x").alias("mz"), F.col("p.y").alias("intensity"))
+
+
+@_query("SELECT CAST(label AS VARCHAR) AS run, count(*) AS n_spectra FROM embeddings GROUP BY 1")
+def runfile_summaries(spark, sf_dir):
+    from ..sinks import runfile as sink
+    from ..sources import runfile as source
+
+    contents = sink.files(_vectors_as_runs(spark, sf_dir), level=0).withColumnRenamed("run", "path")
+    return source.read_contents(contents, "spectra").groupBy(F.col("source_path").alias("run")).agg(F.count("*").alias("n_spectra"))
+
+
+@_query("SELECT vec_id, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding)")
+def array_text_round_trip(spark, sf_dir):
+    """Vectors as deflated base64 text of 32-bit floats, decoded again."""
+    from ..functions import arrays
+    from ..sources import mzml
+
+    def encode(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: arrays.encode(v, 2, True))
+
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: mzml.decode(t, ["MS:1000521", "MS:1000574"]).astype(float))
+
+    text = F.pandas_udf(encode, "string")(F.col("embedding"))
+    out = A.table(spark, sf_dir, "embeddings").select("vec_id", F.pandas_udf(decode, "array<double>")(text).alias("v"))
+    return out.select("vec_id", F.posexplode("v").alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), "value")
+
+
+@_query("SELECT vec_id, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding)")
+def packed_bytes_round_trip(spark, sf_dir):
+    """Vectors as deltas of bit patterns in transposed bytes, and back."""
+    from ..functions import arrays as B
+
+    def there_and_back(s: pd.Series) -> pd.Series:
+        def one(v):
+            raw = np.asarray(v, "<f4").tobytes()
+            packed = B.transpose_bytes(B.delta_bits(raw, 4), 4)
+            return np.frombuffer(B.sum_bits(B.restore_bytes(packed, 4), 4), "<f4").astype(float)
+
+        return s.map(one)
+
+    out = A.table(spark, sf_dir, "embeddings").select("vec_id", F.pandas_udf(there_and_back, "array<double>")(F.col("embedding")).alias("v"))
+    return out.select("vec_id", F.posexplode("v").alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), "value")

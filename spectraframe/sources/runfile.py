@@ -407,6 +407,11 @@ class _Reader(DataSourceReader):
 
 def read_files(spark: SparkSession, path: str, table: str = "spectra", verify: bool = True) -> DataFrame:
     """A table of files in any store that Spark reads: each file is one task's buffer. Adds the column source_path."""
+    return read_contents(spark.read.format("binaryFile").load(path).select("path", "content"), table, verify)
+
+
+def read_contents(contents: DataFrame, table: str = "spectra", verify: bool = True) -> DataFrame:
+    """A table of files in contents(path, content)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -426,7 +431,7 @@ def read_files(spark: SparkSession, path: str, table: str = "spectra", verify: b
                 if held:
                     yield _batch(held, schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "source_path string, " + types)
+    return contents.select("path", "content").mapInArrow(run, "source_path string, " + types)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
