@@ -14,6 +14,7 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("convert", help="mzML to a native dataset, or back")
     c.add_argument("-i", "--input", required=True)
     c.add_argument("-o", "--output", required=True)
+    c.add_argument("--kind", default="auto", choices=["auto", "to_parquet", "to_mzml", "to_runfile"])
     c.add_argument("--mz-window", type=float, default=20.0)
     c.add_argument("--pattern")
     c.add_argument("--pattern-exact")
@@ -34,7 +35,7 @@ def main(argv: list[str] | None = None) -> int:
     from .sources import mzml
 
     if args.command == "convert":
-        print(files.convert(spark, args.input, args.output, width=args.mz_window, compress=args.zlib))
+        print(files.convert(spark, args.input, args.output, args.kind, width=args.mz_window, compress=args.zlib))
         return 0
     if args.command == "cat":
         table = mzml.chromatograms(spark, args.input) if args.chrom else mzml.spectra(spark, args.input)
@@ -48,6 +49,13 @@ def main(argv: list[str] | None = None) -> int:
         for r in parquet.to_json((table if args.full else table.drop("arrays")).orderBy(index)).toLocalIterator():
             print(r.value)
         return 0
+    if args.input.endswith(".run"):
+        from .sources import runfile
+
+        results = runfile.check(args.input)
+        for n, label, ok in results:
+            print(f"{n} {label}: {'ok' if ok else 'failed'}")
+        return int(not all(ok for _, _, ok in results))
     spectra, peaks, _ = parquet.read_run(spark, args.input)
     rows = validate.check_run(spectra, peaks).orderBy("check_no").collect()
     for r in rows:

@@ -30,23 +30,41 @@ def counters(results: DataFrame) -> DataFrame:
 
 
 def convert(spark: SparkSession, source: str, target: str, kind: str = "auto", width: float = S.MZ_WIDTH, compress: bool = False) -> str:
-    """mzML to a native dataset, or a native dataset of arrays to mzML; auto goes by the extension."""
+    """mzML or run files to a native dataset, or a native dataset of arrays to mzML or run files.
+
+    kind: to_parquet, to_mzml, to_runfile or auto, which goes by the source's extension.
+    """
     from .sinks import mzml as out
     from .sinks import parquet
-    from .sources import mzml
+    from .sources import mzml, runfile
 
     fn.positive(width, "mz_width")
     if kind == "auto":
-        kind = "to_parquet" if source.lower().endswith(".mzml") else "to_mzml"
-    if kind == "to_parquet":
+        kind = "to_parquet" if source.lower().endswith((".mzml", ".run")) else "to_mzml"
+    if kind == "to_parquet" and source.lower().endswith(".run"):
+        arrays = runfile.read_files(spark, source, "arrays")
+        spectra = runfile.read_files(spark, source, "spectra")
+        arrays.join(spectra, ["source_path", "spectrum_index"]).withColumn("id", F.concat(F.lit("index="), F.col("spectrum_index"))).write.option("compression", "zstd").parquet(f"{target}/arrays")
+        chroms = runfile.read_files(spark, source, "chromatogram_arrays").withColumn("id", F.concat(F.lit("index="), F.col("chromatogram_index")))
+        chroms.write.option("compression", "zstd").parquet(f"{target}/chromatograms")
+        parquet.write_run(target, spectra.withColumnRenamed("source_path", "run_id"), mzml.peaks(arrays, width), width)
+    elif kind == "to_parquet":
         spectra = mzml.spectra(spark, source)
         peaks = mzml.peaks(spectra, width)
         spectra.write.option("compression", "zstd").parquet(f"{target}/arrays")
         mzml.chromatograms(spark, source).write.option("compression", "zstd").parquet(f"{target}/chromatograms")
         parquet.write_run(target, spectra.drop("arrays").withColumnRenamed("source_path", "run_id"), peaks, width)
+    elif kind == "to_runfile":
+        spark.dataSource.register(runfile.RunFileSource)
+        rows = spark.read.parquet(f"{source}/arrays")
+        keep = [c for c in (*runfile.A1.names, "id", "params", "arrays", "spectrum_index") if c in rows.columns]
+        # A run to a task: a file is written from front to back.
+        one = rows.repartition("source_path").select(*keep)
+        one.write.format("runfile").option("mzWindow", width).mode("append").save(target)
     elif kind == "to_mzml":
         docs = out.documents(spark.read.parquet(f"{source}/arrays"), spark.read.parquet(f"{source}/chromatograms"), compress=compress)
-        docs.select("document").write.text(target, lineSep="")
+        # A folder for each run; the writer adds the last newline.
+        docs.select(F.regexp_replace("document", "\n$", "").alias("document"), "run").write.partitionBy("run").text(target)
     else:
         raise S.Unsupported(f"kind {kind}")
     return kind

@@ -257,3 +257,17 @@ def peaks(spectra_: DataFrame, width: float = S.MZ_WIDTH) -> DataFrame:
     zipped = F.arrays_zip(F.slice(x, F.lit(1), n).alias("mz"), F.slice(y, F.lit(1), n).alias("intensity"))
     out = spectra_.where(n > 0).select(F.col("source_path").alias("run_id"), "spectrum_index", F.posexplode(zipped).alias("pos", "p"))
     return out.select("run_id", "spectrum_index", "pos", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"), fn.window_index(F.col("p.mz"), width).alias("mz_bin"))
+
+
+def parameters(spectra_: DataFrame) -> DataFrame:
+    """A row for each parameter of each spectrum: where it stands (level), its place, and its fields.
+
+    Levels are spectrum, scan, scan_list and selected_ion; `summaries.spectrum_summaries` reads this form.
+    """
+    parts = F.concat(*(_located(F.col(c), level) for c, level in (("params", "spectrum"), ("scan_params", "scan"), ("scan_list_params", "scan_list"), ("ion_params", "selected_ion"))))
+    return spectra_.select("source_path", "spectrum_index", F.posexplode(parts).alias("row_no", "p")).select("source_path", "spectrum_index", "row_no", "p.*")
+
+
+def stream(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
+    """Raw spectrum elements of the files of a folder as they come."""
+    return spark.readStream.format("xml").option("rowTag", "spectrum").option("charset", charset).schema(SPECTRUM).load(path)

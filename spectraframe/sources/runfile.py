@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .. import schema as S
 from ..functions import arrays as A
@@ -381,6 +381,10 @@ class RunFileSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite) -> DataSourceWriter:
+        """Each partition becomes one file of its rows (spectrum_index, id, params, arrays, summary columns) in order."""
+        return _FileWriter(self.options)
+
 
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
@@ -391,7 +395,7 @@ class _Reader(DataSourceReader):
         import glob
         import os
 
-        paths = sorted(glob.glob(os.path.join(self.path, "**", "*"), recursive=True)) if os.path.isdir(self.path) else [self.path]
+        paths = sorted(p for p in glob.glob(os.path.join(self.path, "**", "*"), recursive=True) if not os.path.basename(p).startswith((".", "_"))) if os.path.isdir(self.path) else [self.path]
         out = []
         for p in (p for p in paths if os.path.isfile(p)):
             with open(p, "rb") as f:
@@ -405,6 +409,46 @@ class _Reader(DataSourceReader):
         yield from table_rows(f, self.table, partition.lo, None if partition.hi < 0 else partition.hi)
 
 
+@dataclass
+class _Wrote(WriterCommitMessage):
+    path: str | None
+
+
+class _FileWriter(DataSourceWriter):
+    def __init__(self, options) -> None:
+        self.path = options["path"]
+        self.options = {"level": int(options.get("level", 12)), "mz_width": float(options.get("mzWindow", S.MZ_WIDTH)), "force_f32": options.get("forceF32", "false") == "true", "block_size": int(options.get("blockSize", 1 << 20))}
+
+    def write(self, iterator) -> WriterCommitMessage:
+        import os
+        import uuid
+
+        from ..sinks import runfile as sink
+
+        rows = sorted((r.asDict(recursive=True) for r in iterator), key=lambda r: r["spectrum_index"])
+        if not rows:
+            return _Wrote(None)
+        os.makedirs(self.path, exist_ok=True)
+        path = os.path.join(self.path, f".{uuid.uuid4().hex}.run")
+        sink.write(path, ({k: v for k, v in r.items() if v is not None} for r in rows), **self.options)
+        return _Wrote(path)
+
+    def commit(self, messages) -> None:
+        import os
+
+        for m in messages:  # files get their names when all tasks have written theirs
+            if m and m.path:
+                folder, name = os.path.split(m.path)
+                os.replace(m.path, os.path.join(folder, name[1:]))
+
+    def abort(self, messages) -> None:
+        import os
+
+        for m in messages:
+            if m and m.path and os.path.exists(m.path):
+                os.remove(m.path)
+
+
 def read_files(spark: SparkSession, path: str, table: str = "spectra", verify: bool = True) -> DataFrame:
     """A table of files in any store that Spark reads: each file is one task's buffer. Adds the column source_path."""
     return read_contents(spark.read.format("binaryFile").load(path).select("path", "content"), table, verify)

@@ -187,3 +187,30 @@ def test_stream_finds_falling_rt(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.spectrum_index, r.previous_rt) for r in spark.table("falls").collect()] == [(4, 4.0)]
+
+
+@pytest.mark.skipif(not os.path.isdir(FIXTURES), reason="no fixtures")
+def test_conversions(spark, tmp_path):
+    from spectraframe import cli
+    from spectraframe.operators import summaries
+    from spectraframe.sources import runfile
+
+    # Start times fall in this document's last spectrum only where they are compared in one unit, so it goes through arrays.
+    native, back, runs = (str(tmp_path / x) for x in ("native", "back", "runs"))
+    assert files.convert(spark, f"{FIXTURES}/tiny2.pwiz.1.0.mzML", native) == "to_parquet"
+    first = spark.read.parquet(f"{native}/arrays")
+    assert files.convert(spark, native, back, "to_mzml") == "to_mzml"
+    pick = lambda df: [[a["values"] for a in r.arrays] for r in df.orderBy("spectrum_index").collect()]
+    assert pick(mzml.spectra(spark, f"{back}/*", "UTF-8")) == pick(first)
+    assert files.convert(spark, native, runs, "to_runfile") == "to_runfile"
+    stored = [x for x in os.listdir(runs) if x.endswith(".run")]
+    assert len(stored) == 1 and cli.main(["check", f"{runs}/{stored[0]}"]) == 0
+    assert pick(runfile.read_files(spark, runs, "arrays")) == pick(first)
+    again = str(tmp_path / "again")
+    files.convert(spark, f"{runs}/{stored[0]}", again)
+    assert parquet.read_run(spark, again)[1].count() == parquet.read_run(spark, native)[1].count() == 9
+    assert cli.main(["check", native]) == 0
+    spectra = mzml.spectra(spark, f"{FIXTURES}/tiny.pwiz.1.1.mzML")
+    cols = ["spectrum_index", "ms_level", "polarity", "rt", "rt_unit", "base_peak_mz", "total_ion_current", "selected_ion_mz"]
+    rows = lambda df: sorted(str(r) for r in df.select(*cols).collect())
+    assert rows(summaries.spectrum_summaries(mzml.parameters(spectra))) == rows(spectra)
