@@ -268,6 +268,88 @@ class RunFile:
         if total != [self.header.counts[f"{name}_{k}"] for k in ("rows", "numbers", "texts")]:
             raise S.Malformed(f"{name}: totals differ from the header")
 
+    def global_metadata(self) -> Iterator[tuple]:
+        """Rows of the run's own metadata, in the form of `metadata`; node numbers are as stored."""
+        c = self.header.counts
+        if not self.header.sections["E"][1]:
+            return
+        body = unpack(self.section("E"), c["E_plain"], self.header.codec, self.most)
+        items = int(np.frombuffer(body[:18], "<u2").sum())
+        yield from metadata_rows(body[32:], items, c["E_rows"], c["E_numbers"], c["E_texts"])
+
+    # range reads, and what they would read
+
+    def _window_span(self, lo: float, hi: float, n: int) -> range:
+        if not (np.isfinite(lo) and np.isfinite(hi)) or lo > hi:
+            raise S.BadRange(f"bad range {lo}..{hi}")
+        of = lambda x: int(x // self.header.mz_width) if x > 0 else 0
+        return range(min(of(lo), n), min(of(hi), n - 1) + 1)
+
+    def in_range(self, index: int, lo: float, hi: float, x: int | str = "mz", y: int | str = "intensity") -> tuple[np.ndarray, np.ndarray]:
+        """x and y of a spectrum with x in the range, both ends inside, whatever windows they are filed under."""
+        if not (np.isfinite(lo) and np.isfinite(hi)) or lo > hi:
+            raise S.BadRange(f"bad range {lo}..{hi}")
+        a, b = self.values(index, x), self.values(index, y)
+        n = min(len(a), len(b))
+        keep = (a[:n] >= lo) & (a[:n] <= hi)
+        return a[:n][keep], b[:n][keep]
+
+    def _block_range(self, number: int, name: str = "spectra") -> tuple[int, int]:
+        d = self.blocks[name][number]
+        return self.header.sections[name][0] + int(d["offset"]), int(d["size"])
+
+    def byte_ranges(self, index: int, mz: tuple[float, float] | None = None, arrays: tuple = (S.MZ, S.INTENSITY)) -> list[tuple[int, int]]:
+        """Ranges (offset, length) of the blocks with a spectrum's arrays, sorted; with mz only those of its windows.
+
+        Arrays that are not split like m/z are read whole; unknown kinds add nothing.
+        """
+        if not 0 <= index < len(self.a2):
+            raise S.OutOfRange(f"item {index}")
+        kinds = [S.AXES.get(k, k) for k in arrays]
+        first, count = int(self.a2[index]["first"]), int(self.a2[index]["count"])
+        rows = self.a3[first : first + count]
+        number = np.cumsum(rows["continues"] == 0)
+        sizes = {n: tuple(rows["count"][number == n]) for n in np.unique(number)}
+        axis = next((sizes[n] for n in sizes if rows["accession"][number == n][0] == S.MZ), None)
+        wanted: set[int] = set()
+        inside = None
+        if mz is not None:
+            w = self.windows()
+            span = self._window_span(*mz, len(w["starts"]) - 1)
+            inside = {int(w["x_address"][e]) - first for b in span for e in range(w["starts"][b], w["starts"][b + 1]) if w["item"][e] == index}
+            base = next((i for i, r in enumerate(rows) if r["accession"] == S.MZ), 0)
+            inside = {i - base for i in inside}
+        for n, own in sizes.items():
+            at = np.flatnonzero(number == n)
+            if rows["accession"][at[0]] not in kinds:
+                continue
+            for k, i in enumerate(at):
+                if inside is None or own != axis or k in inside:
+                    wanted.add(int(rows["block"][i]))
+        return sorted(self._block_range(b) for b in wanted)
+
+    def extracted_ion_ranges(self, mz: tuple[float, float], rt: tuple[float, float] | None = None, gap: int = 0) -> list[tuple[int, int]]:
+        """Merged ranges of the blocks that an extracted-ion read of all spectra needs; spectra with NaN rt are read."""
+        w = self.windows()
+        wanted: set[int] = set()
+        for b in self._window_span(*mz, len(w["starts"]) - 1):
+            e = slice(int(w["starts"][b]), int(w["starts"][b + 1]))
+            t = self.a1["rt"][w["item"][e]]
+            keep = np.ones(len(t), bool) if rt is None else ~((t < rt[0]) | (t > rt[1]))
+            for c in ("x_address", "y_address"):
+                wanted.update(self.a3["block"][w[c][e][keep]].tolist())
+        return merge(sorted(self._block_range(b) for b in wanted), gap)
+
+    def metadata_range(self, index: int, name: str = "C") -> tuple[int, int]:
+        """The range of the metadata group that holds an item."""
+        offset, length = self.header.sections[name]
+        count, size = self.header.counts[f"{name}_groups"], DIRECTORY.itemsize
+        g = index // max(1, self.header.counts["group_items"])
+        if not 0 <= g < count:
+            raise S.OutOfRange(f"item {index}")
+        d = np.frombuffer(self.read(offset + length - (count - g) * size, size), DIRECTORY)[0]
+        return offset + int(d["offset"]), int(d["size"])
+
     def touched(self) -> list[tuple[str, int, int]]:
         """Ranges that opening reads: header, tables, directories and trailer."""
         s, c = self.header.sections, self.header.counts
@@ -278,6 +360,17 @@ class RunFile:
         return [x for x in [*out, ("trailer", c["file_size"] - 8, 8)] if x[2]]
 
 
+def merge(ranges: list[tuple[int, int]], gap: int = 0) -> list[tuple[int, int]]:
+    """Sorted ranges joined where the next begins at most `gap` behind the end so far; empty ones are left out."""
+    out: list[list[int]] = []
+    for offset, length in ranges:
+        if length and out and offset <= out[-1][1] + gap:
+            out[-1][1] = max(out[-1][1], offset + length)
+        elif length:
+            out.append([offset, offset + length])
+    return [(a, b - a) for a, b in out]
+
+
 def metadata_rows(body: bytes, items: int, rows: int, numbers: int, texts: int, base: int = 0, remap: bool = False) -> Iterator[tuple]:
     at = 0
 
@@ -357,6 +450,7 @@ def table_rows(f: RunFile, table: str, lo: int = 0, hi: int | None = None) -> It
         for name in ("C", "D"):
             if f.header.counts[f"{name}_groups"]:
                 yield from ((name, *r) for r in f.metadata(name))
+        yield from (("E", *r) for r in f.global_metadata())
     else:
         raise S.Unsupported(f"table {table}")
 

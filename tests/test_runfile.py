@@ -122,3 +122,41 @@ def test_version_change(tmp_path):
     assert W.set_version(path, 0) and R.RunFile.open(path).header.version == 0 and not W.set_version(path, 0)
     with pytest.raises(S.Unsupported):
         W.set_version(path, 2)
+
+
+def test_ranges_and_plans(tmp_path):
+    path, run = str(tmp_path / "a.run"), items(60)
+    W.write(path, run, CHROM, level=1, block_size=2000)
+    f = R.RunFile.open(path)
+    for i in (1, 2, 5, 7):
+        mz, y = run[i]["arrays"][0]["values"], run[i]["arrays"][1]["values"]
+        for lo, hi in ((120.0, 130.0), (100.0, 149.999), (130.5, 130.5), (500.0, 600.0), (0.0, 50.0)):
+            a, b = f.in_range(i, lo, hi)
+            keep = (mz >= lo) & (mz <= hi)
+            assert np.array_equal(a, mz[keep]) and np.array_equal(b, y[keep].astype(float))
+        every, some = f.byte_ranges(i), f.byte_ranges(i, (120.0, 130.0))
+        assert set(some) <= set(every) and (len(mz) == 0 or every)
+        assert f.byte_ranges(i, arrays=(4711,)) == []
+    # What a plan names is enough to read by.
+    reads = []
+    raw = open(path, "rb").read()
+    g = R.RunFile(lambda o, n: reads.append((o, n)) or raw[o : o + n], len(raw))
+    planned = g.extracted_ion_ranges((120.0, 130.0), (0.0, 20.0))
+    assert planned == sorted(planned) and f.extracted_ion_ranges((120.0, 130.0), None, 1 << 30)[0][1] >= sum(n for _, n in planned)
+    reads.clear()
+    w = g.windows()
+    reads.clear()
+    e = int(w["starts"][6])
+    if g.a1["rt"][w["item"][e]] <= 20:
+        g.segment("spectra", g.a3[w["x_address"][e]])
+        assert all(any(o <= a and a + n <= o + m for o, m in planned) for a, n in reads)
+    o, n = f.metadata_range(7)
+    c = f.header.sections["C"]
+    assert c[0] <= o and o + n <= c[0] + c[1]
+    assert list(f.global_metadata()) == []
+    touched = f.touched()
+    assert touched[0] == ("header", 0, 1024) and touched[-1][0] == "trailer"
+    for bad in ((2.0, 1.0), (math.nan, 1.0), (0.0, math.inf)):
+        with pytest.raises(S.BadRange):
+            f.extracted_ion_ranges(bad)
+    assert R.merge([(0, 10), (10, 5), (55, 5), (101, 1)], 40) == [(0, 60), (101, 1)]
