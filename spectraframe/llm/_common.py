@@ -10,8 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that the vectorised passes hold at once; a longer single text is one slice.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that the vectorised passes hold at once, so that their arrays stay in the processor's cache; a longer
+#: single text is one slice.
+SLICE_BYTES = 1 << 18
+#: Ids of a bucket that one task compares by itself.
+SMALL_BUCKET = 2048
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -73,7 +76,7 @@ def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column one after the other, and n + 1 offsets; null counts as empty."""
     column = pc.fill_null(column, "") if column.null_count else column
-    column = column.cast(pa.large_binary()) if not pa.types.is_binary(column.type) else column.cast(pa.large_binary())
+    column = column.cast(pa.large_binary())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -232,49 +235,271 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def star_links(rows: DataFrame, verify, threshold: float) -> DataFrame:
     """Links (a, b, sim) of similarity `threshold` or more in buckets, without all pairs: rows(key long, id long).
 
-    verify(pairs(a, b)) gives the exact similarity `sim` of each pair, one minus which must be a metric. Rounds:
+    The links join the same ids to components as all links between ids of a bucket would. verify(pairs(a, b)) gives
+    the exact similarity `sim` of each pair, one minus which must be a metric. Rounds:
 
     - Each bucket's leader is the pending id that meets the most others over all its buckets (the middle of a
       group of edited copies meets more of them than the copies do); all ids of the bucket are compared with it.
     - Ids that match are settled. Ids that don't stay pending for the next round. By the triangle inequality a
       settled id can only match a pending one if their similarities to the leader differ by at most
       1 - threshold; settled ids for which that may hold stay to be compared with the next leaders.
-    - From the second round on, 2, 4, 8... leaders are taken by hash, so that a bucket of m ids of which none match
-      is done in log m rounds. Rounds end when no bucket holds a pending id and another.
+    - Buckets whose ids are all in one component by the links of all buckets are done.
+    - From the second round on, 8, 64, 512... leaders are taken by hash, so that a bucket of m ids of which none
+      match is done in a few rounds. Rounds end when no bucket holds a pending id and another.
 
     Leaders come from grouped maxima and comparisons from equi-joins; no bucket is gathered in one task.
     """
+    spark = rows.sparkSession
     multi = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     cur = materialize(rows.join(multi, "key", "left_semi").select("key", "id").distinct(), "near")
     size = cur.groupBy("key").agg(F.count("*").alias("n"))
     weight = cur.join(size, "key").groupBy("id").agg(F.sum("n").alias("weight"))
-    cur = cur.join(weight, "id").select("key", "id", "weight", F.lit(True).alias("pending"))
-    found = []
-    for turn in range(64):
+    cur = cur.join(weight, "id").select("key", "id", "weight", F.lit(True).alias("pending"), F.col("id").alias("part"))
+    out, seen = spark.createDataFrame([], "a long, b long, sim double"), None
+    for turn in range(20):
         cur = materialize(cur, "near")
         rank = F.struct("weight", (-F.col("id")).alias("minus"))
-        heads = cur.groupBy("key").agg(F.count("*").alias("n"), F.count_if("pending").alias("p"), F.max(F.when(F.col("pending"), rank)).alias("top"))
-        heads = heads.where("n > 1 and p > 0").select("key", "p", (-F.col("top.minus")).alias("top"))
-        by_hash = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.greatest(F.floor(F.col("p") / (1 << turn)), F.lit(1))) == 0
-        lead = cur.where("pending").join(heads, "key").where((F.col("id") == F.col("top")) | (F.lit(turn > 0) & by_hash)).select("key", F.col("id").alias("lead"))
-        near = materialize(cur.join(lead, "key").where("id <> lead").select("*", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")), "near")
-        if near.isEmpty():
+        heads = cur.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count_if("pending").alias("p"), F.max(F.when(F.col("pending"), rank)).alias("top"))
+        heads = heads.where("p0 < p1 and p > 0").select("key", "p", (-F.col("top.minus")).alias("top"))
+        by_hash = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("p") / (1 << 3 * turn)), F.lit(1))) == 0
+        lead = cur.where("pending").join(heads, "key").where((F.col("id") == F.col("top")) | (F.lit(turn > 0) & by_hash))
+        lead = lead.select("key", F.col("id").alias("lead"), F.col("part").alias("lead_part"))
+        near = cur.join(lead, "key").where("id <> lead")
+        near = materialize(near.withColumns({"a": F.least("id", "lead"), "b": F.greatest("id", "lead")}), "near")
+        pairs = near.where("part <> lead_part").select("a", "b").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
             break
-        sims = materialize(verify(near.select("a", "b").distinct()).select("a", "b", "sim"), "sims")
-        found.append(sims.where(F.col("sim") >= threshold))
-        got = materialize(near.join(sims, ["a", "b"]).join(lead.withColumnsRenamed({"lead": "id"}).withColumn("led", F.lit(True)), ["key", "id"], "left").select("key", "id", "weight", "pending", "lead", "sim", F.coalesce("led", F.lit(False)).alias("led")), "got")
-        best = got.where("not led").groupBy("key", "id").agg(F.max("weight").alias("weight"), F.max("pending").alias("pending"), F.max("sim").alias("best"))
+        sims = materialize(verify(pairs).select("a", "b", "sim"), "sims")
+        seen = sims if seen is None else seen.union(sims)
+        out = out.union(sims.where(F.col("sim") >= threshold))
+        # Pairs within a component that were never compared count as matches of unknown similarity.
+        led = lead.select("key", F.col("lead").alias("id"), F.lit(True).alias("led"))
+        got = near.join(seen, ["a", "b"], "left").join(led, ["key", "id"], "left")
+        got = materialize(got.select("key", "id", "weight", "pending", "lead", "sim", F.coalesce("led", F.lit(False)).alias("led")), "got")
+        best = got.where("not led").groupBy("key", "id").agg(F.max("weight").alias("weight"), F.max("pending").alias("pending"), F.max(F.coalesce("sim", F.lit(1.0))).alias("best"))
         wait = materialize(best.where(F.col("pending") & (F.col("best") < threshold)).select("key", "id", "weight", "pending"), "wait")
         if wait.isEmpty():
             break
         closest = got.join(wait.select("key", "id"), ["key", "id"], "left_semi").groupBy("key", "lead").agg(F.max("sim").alias("closest"))
         rest = got.where("not led").join(wait.select("key", "id"), ["key", "id"], "left_anti").join(closest, ["key", "lead"])
         rest = rest.groupBy("key", "id").agg(F.max("weight").alias("weight"), F.max(F.col("sim") - F.col("closest")).alias("over"))
-        rest = rest.where(F.col("over") <= 1 - threshold + 1e-9).select("key", "id", "weight", F.lit(False).alias("pending"))
-        cur = wait.unionByName(rest)
-    if not found:
-        return rows.sparkSession.createDataFrame([], "a long, b long, sim double")
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.distinct()
+        rest = rest.where(F.coalesce("over", F.lit(0.0)) <= 1 - threshold + 1e-9).select("key", "id", "weight", F.lit(False).alias("pending"))
+        cur = wait.unionByName(rest).join(components(out).withColumnRenamed("component_id", "part"), "id", "left")
+        cur = cur.withColumn("part", F.coalesce("part", "id")).select("key", "id", "weight", "pending", "part")
+    return out
+
+
+def jaccard(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets, each sorted by hash."""
+    if not len(x) or not len(y):
+        return 0.0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = y[at] == x
+    low = np.minimum(v[same], w[at[same]]).sum()
+    return float(low / (v.sum() + w.sum() - low))
+
+
+def jaccard_matrix(sets: list[tuple[np.ndarray, np.ndarray]], dense: int = 8, width: int = 2048) -> np.ndarray:
+    """Weighted Jaccard similarities of all sets (hashes, weights) with each other.
+
+    A weight is a stack of steps between the weights that its hash has in these sets, so a minimum is the sum of
+    the steps that both have. Steps of `dense` sets or more are multiplied as matrices, the others pair by pair.
+    """
+    n = len(sets)
+    low = np.zeros((n, n))
+    x = np.concatenate([s[0] for s in sets])
+    w = np.concatenate([s[1] for s in sets]).astype(np.float64)
+    of = np.repeat(np.arange(n), [len(s[0]) for s in sets])
+    order = np.lexsort((w, x))
+    x, w, of = x[order], w[order], of[order]
+    first = np.append(True, x[1:] != x[:-1])
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, len(x)))
+    keep = np.repeat(size > 1, size)
+    x, w, of, first = x[keep], w[keep], of[keep], first[keep]
+    if len(x):
+        group = np.cumsum(first) - 1
+        ends = np.append(np.flatnonzero(first)[1:], len(x))[group]
+        # Within a hash weights rise; a step up to weight w belongs to this row and all after it.
+        step = w - np.where(first, 0.0, np.append(0.0, w[:-1]))
+        new = np.flatnonzero(step > 0)
+        height, lo, hi = step[new], new, ends[new]
+        many = hi - lo >= dense
+        for at in range(0, int(many.sum()), width):
+            a, b, h = (v[many][at : at + width] for v in (lo, hi, height))
+            m = b - a
+            rows = of[np.repeat(a - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))]
+            block = np.zeros((n, len(a)))
+            block[rows, np.repeat(np.arange(len(a)), m)] = np.repeat(np.sqrt(h), m)
+            low += block @ block.T
+        a, b, h = lo[~many], hi[~many], height[~many]
+        for i in range(dense):
+            for j in range(i, dense):
+                some = b - a > j
+                np.add.at(low, (of[a[some] + i], of[a[some] + j]), h[some])
+                if i != j:
+                    np.add.at(low, (of[a[some] + j], of[a[some] + i]), h[some])
+    total = np.array([s[1].sum() for s in sets], np.float64)
+    return low / np.maximum(total[:, None] + total[None, :] - low, 1e-300)
+
+
+def minima(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the component of each of n nodes, for links a[i] - b[i]."""
+    lab = np.arange(n)
+    while len(a):
+        low = np.minimum(lab[a], lab[b])
+        old = lab.copy()
+        np.minimum.at(lab, a, low)
+        np.minimum.at(lab, b, low)
+        lab = lab[lab]
+        if (lab == old).all():
+            break
+    return lab
+
+
+def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame:
+    """Links (a, b) between ids of rows(key, id) that join, in each bucket, what links of all its pairs would join.
+
+    Ids are linked at a weighted Jaccard similarity of `threshold` or more. Buckets of up to SMALL_BUCKET ids are
+    dealt with where they are: their texts come sorted by bucket, all similarities are worked out as one matrix, and
+    one link for each further id of a component goes out. Larger buckets go through `star_links`. texts(ids) gives
+    (id, text) of ids(id); prepare(column) gives (sorted hashes, weights) of each text of a string column.
+    """
+    most = SMALL_BUCKET
+    rows = materialize(rows.distinct(), "rows")
+    size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    near = materialize(rows.join(size, "key"), "near")
+    held = materialize(texts(near.select("id").distinct()), "texts")
+    edge = threshold - 1e-9  # sums of the matrix are rounded; pairs at the edge are worked out one by one
+
+    def local(batches):
+        key, ids, objects = None, [], []
+
+        def done():
+            if len(ids) == 2:
+                return [(ids[0], ids[1])] if jaccard(*objects[0], *objects[1]) >= threshold else []
+            sim = jaccard_matrix(objects)
+            i, j = np.nonzero(np.triu(sim >= edge, 1))
+            close = sim[i, j] < threshold + 1e-9
+            ok = ~close
+            ok[close] = [jaccard(*objects[a], *objects[b]) >= threshold for a, b in zip(i[close], j[close])]
+            lab = minima(i[ok], j[ok], len(ids))
+            return [(ids[m], ids[k]) for k, m in enumerate(lab.tolist()) if m != k]
+
+        for batch in batches:
+            found = []
+            coded = batch.column("text").dictionary_encode()
+            made = prepare(coded.dictionary)
+            for k, i, c in zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), coded.indices.to_pylist()):
+                if k != key:
+                    if len(ids) > 1:
+                        found += done()
+                    key, ids, objects = k, [], []
+                ids.append(i)
+                objects.append(made[c])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+        if len(ids) > 1 and (found := done()):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    small = near.where(F.col("n") <= most).select("key", "id").join(held, "id").select("key", "id", "text")
+    links = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(local, "a long, b long")
+
+    def compare(batches):
+        for whole in batches:
+            for batch in slices(whole, "x", 8 * SLICE_BYTES):
+                sides = [batch.column(c).dictionary_encode() for c in ("x", "y")]
+                made = [prepare(x.dictionary) for x in sides]
+                sim = [jaccard(*made[0][i], *made[1][j]) for i, j in zip(*(x.indices.to_pylist() for x in sides))]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = (held.toDF(i, t) for i, t in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sim double")
+
+    large = near.where(F.col("n") > most).select("key", "id")
+    if not large.isEmpty():
+        links = links.union(star_links(large, verify, threshold).select("a", "b"))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def repeated_keys(table: DataFrame, keys: str, most: int = 1 << 19) -> DataFrame:
+    """(key) that occur with two ids or more in table(keys array<long>, id long).
+
+    Keys are hashes. Each task sorts its keys, keeps the least and the largest id of each, and cuts them by range
+    into parts, one row each; a range has about `most` keys in all, and a frequent key adds no more than two ids
+    from each task. So few rows are shuffled, and none of them is large.
+    """
+    total = table.agg(F.sum(F.size(keys))).first()[0] or 0
+    bits = max(4, int(total / most).bit_length())
+
+    def least(key: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        key, lo, hi = key[order], lo[order], hi[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        return (key[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)) if len(at) else (key, lo, hi)
+
+    def cut(batches):
+        held: list = []
+
+        def rows():
+            key, lo, hi = least(*(np.concatenate(x) for x in zip(*held)))
+            ends = np.searchsorted(key, np.arange(1, 1 << bits).astype(U64) << U64(64 - bits))
+            parts = [[x.tobytes() for x in np.split(v, ends)] for v in (key, lo, hi)]
+            some = [i for i, x in enumerate(parts[0]) if x]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([p[i] for i in some], pa.binary()) for p in parts)], names=["part", "key", "lo", "hi"])
+
+        n = 0
+        for batch in batches:
+            lists = batch.column(keys)
+            key = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+            ids = np.repeat(batch.column("id").to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            held.append((key, ids, ids))
+            n += len(key)
+            if n > 1 << 21:
+                yield rows()
+                held, n = [], 0
+        if n:
+            yield rows()
+
+    def join(key, table):
+        read = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+        k, lo, hi = least(read("key", U64), read("lo", np.int64), read("hi", np.int64))
+        return pa.table({"key": k[lo < hi].view(np.int64)})
+
+    return table.select(keys, "id").mapInArrow(cut, "part int, key binary, lo binary, hi binary").groupBy("part").applyInArrow(join, "key long")
+
+
+def key_filter(keys: DataFrame, bits: int = 24) -> np.ndarray:
+    """2**bits flags, those set that the leading bits of hashes in the first column give: of fixed size."""
+    at = keys.toDF("k").select(F.shiftrightunsigned("k", 64 - bits).alias("at"))
+    words = at.selectExpr("shiftright(at, 5) AS w", "shiftleft(1L, CAST(at & 31L AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = words.toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
+    return out
+
+
+def passes(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a filter lets through: all of its keys, and a few others."""
+    at = hashes.view(U64) >> U64(64 - 5 - (len(flags) - 1).bit_length())
+    return (flags[(at >> U64(5)).astype(np.int64)] >> (at & U64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def bucket_rows(table: DataFrame, keys: str) -> DataFrame:
+    """(key, id) rows of keys that occur with two ids or more in table(keys array<long>, id long)."""
+    multi = materialize(repeated_keys(table, keys), "keys")
+    flags = key_filter(multi)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(keys)
+            key = lists.flatten().to_numpy(zero_copy_only=False)
+            ids = np.repeat(batch.column("id").to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            ok = passes(flags, key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(ids[ok])], names=["key", "id"])
+
+    return table.select(keys, "id").mapInArrow(run, "key long, id long").join(multi, "key", "left_semi")

@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Characters of text in a chunk (a longer single text is a chunk of its own).
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 6 << 20
+#: Bytes of text in a vectorised pass.
+SLICE = 1 << 18
 #: Words in the cache, at most, and documents of the sample that they come from, on average.
-CACHE_WORDS, CACHE_DOCS = 1 << 20, 40_000
+CACHE_WORDS, CACHE_DOCS = 1 << 18, 8_000
 
 # --- words -----------------------------------------------------------------------------------------
 
@@ -142,18 +144,38 @@ class Cache:
 
 
 class _Chunk:
-    """Documents gathered so far; distinct words are numbered by appearance, words of the cache downwards from -1."""
+    """Documents gathered so far. Words of the cache are numbered downwards from -1, the others upwards from 0."""
 
     def __init__(self) -> None:
-        self.ids, self.codes, self.counts, self.words, self.coded, self.known, self.chars = [], [], [], [], [], {}, 0
-
-    def row(self) -> pa.RecordBatch:
-        ids = pa.concat_arrays(self.ids)
-        codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
+        self.ids, self.texts, self.spans, self.counts, self.chars = [], [], [], [], 0
+
+    def add(self, ids: pa.Array, text: str, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.texts.append(text)
+        self.spans.append((h, starts.astype(np.int32), ends.astype(np.int32)))
+        self.counts.append(np.diff(at).astype(np.int64))
+        self.chars += len(text)
+
+    def row(self, ranks: dict[bytes, int], single: list[bytes], cache: Cache) -> pa.RecordBatch:
+        h, starts, ends = (np.concatenate(x) for x in zip(*self.spans))
+        first = np.cumsum([0] + [len(x[0]) for x in self.spans])
+        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+        of = np.searchsorted(first, where, "right") - 1
+        codes, words, coded = np.empty(len(distinct), np.int32), [], []
+        texts = self.texts
+        for i, (k, s, e, c) in enumerate(zip(of.tolist(), starts[where].tolist(), ends[where].tolist(), cache.find(distinct).tolist())):
+            word = texts[k][s:e].encode()
+            ids = cache.get(c, word) if c >= 0 else None
+            if ids is None:
+                codes[i] = len(words)
+                words.append(_start(word, ranks, single))
+            else:
+                coded.append(ids)
+                codes[i] = -len(coded)
         one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t) if isinstance(x, list) else x)
         data = lambda x: pa.array([x.tobytes()], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [one(ids, None), data(counts), data(codes), one(self.words, pa.binary()), one(self.coded, pa.binary())],
+            [one(pa.concat_arrays(self.ids), None), data(np.concatenate(self.counts)), data(codes[back]), one(words, pa.binary()), one(coded, pa.binary())],
             names=["doc_ids", "counts", "codes", "words", "coded"],
         )
 
@@ -174,33 +196,14 @@ def _chunker(ranks: dict[bytes, int], cache: Cache, runs):
         split, chunk = _Words(runs), _Chunk()
         single = [ranks[bytes([i])].to_bytes(2, "big") for i in range(256)]
         for whole in batches:
-            for batch in C.slices(whole):
-                text, starts, ends, at, h = split(batch.column("text"))
-                if chunk.chars and chunk.chars + len(text) > CHUNK_CHARS:
-                    yield chunk.row()
+            for batch in C.slices(whole, "text", SLICE):
+                parts = split(batch.column("text"))
+                if chunk.chars and chunk.chars + len(parts[0]) > CHUNK_CHARS:
+                    yield chunk.row(ranks, single, cache)
                     chunk = _Chunk()
-                new, where, back = np.unique(h, return_index=True, return_inverse=True)
-                own = np.empty(len(new), np.int32)
-                known, words, coded = chunk.known, chunk.words, chunk.coded
-                for i, (x, s, e, c) in enumerate(zip(new.tolist(), starts[where].tolist(), ends[where].tolist(), cache.find(new).tolist())):
-                    code = known.get(x)
-                    if code is None:
-                        word = text[s:e].encode()
-                        ids = cache.get(c, word) if c >= 0 else None
-                        if ids is None:
-                            code = len(words)
-                            words.append(_start(word, ranks, single))
-                        else:
-                            coded.append(ids)
-                            code = -len(coded)
-                        known[x] = code
-                    own[i] = code
-                chunk.ids.append(batch.column("doc_id"))
-                chunk.codes.append(own[back] if len(new) else np.zeros(0, np.int32))
-                chunk.counts.append(np.diff(at).astype(np.int64))
-                chunk.chars += len(text)
+                chunk.add(batch.column("doc_id"), *parts)
         if chunk.ids:
-            yield chunk.row()
+            yield chunk.row(ranks, single, cache)
 
     return run
 
@@ -214,7 +217,7 @@ def _cache(docs: DataFrame, ranks: dict[bytes, int], rank: RankMap, runs) -> Cac
         split = _Words(runs)
         single = [ranks[bytes([i])].to_bytes(2, "big") for i in range(256)]
         for whole in batches:
-            for batch in C.slices(whole):
+            for batch in C.slices(whole, "text", SLICE):
                 text, starts, ends, _, h = split(batch.column("text"))
                 new, where, n = np.unique(h, return_index=True, return_counts=True)
                 words = [text[s:e].encode() for s, e in zip(starts[where].tolist(), ends[where].tolist())]
@@ -234,9 +237,9 @@ def _cache(docs: DataFrame, ranks: dict[bytes, int], rank: RankMap, runs) -> Cac
     got = words.where(F.col("n") >= least).select("h", "word", encode_words(F.array("start"), rank)[0].alias("ids")).toArrow()
     order = np.argsort(got["h"].to_numpy().view(C.U64)) if got.num_rows else np.zeros(0, np.int64)
     got = got.take(pa.array(order)).combine_chunks()
-    parts = {c: got[c].to_pylist() for c in ("word", "ids")}
-    ends = {c: np.cumsum([len(x) for x in v], dtype=np.int64) for c, v in parts.items()}
-    return Cache(got["h"].to_numpy().view(C.U64), b"".join(parts["word"]), ends["word"], b"".join(parts["ids"]), ends["ids"])
+    parts = [C.text_bytes(got[c].combine_chunks()) for c in ("word", "ids")]
+    (words_of, word_ends), (ids_of, id_ends) = ((data.tobytes(), ends[1:].copy()) for data, ends in parts)
+    return Cache(got["h"].to_numpy().view(C.U64), words_of, word_ends, ids_of, id_ends)
 
 
 # --- merges as higher-order functions -----------------------------------------------------------------

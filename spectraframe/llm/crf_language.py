@@ -30,6 +30,8 @@ from . import _common as C
 PER_LANG, EXCERPT, MAX_LANGS = 250, 1500, 64
 BITS = 16
 EPOCHS = 30
+#: Bytes of text whose words form one chain: a chain of n words takes about the square root of n steps.
+SLICE = 1 << 21
 
 
 class WordFeatures:
@@ -229,7 +231,7 @@ def predict(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = WordFeatures()
         for whole in batches:
-            for batch in C.slices(whole):
+            for batch in C.slices(whole, "text", SLICE):
                 column = pc.fill_null(batch.column("text"), "")
                 n = batch.num_rows
                 letters = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False)

@@ -105,20 +105,6 @@ def first_meeting(a: np.ndarray, b: np.ndarray, a_id: np.ndarray, b_id: np.ndarr
     return ~before & (~mutual | (a_id < b_id))
 
 
-def minima(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least node of the component of each of n nodes, for links a[i] - b[i]."""
-    lab = np.arange(n)
-    while len(a):
-        low = np.minimum(lab[a], lab[b])
-        old = lab.copy()
-        np.minimum.at(lab, a, low)
-        np.minimum.at(lab, b, low)
-        lab = lab[lab]
-        if (lab == old).all():
-            break
-    return lab
-
-
 def _link_block(threshold: float):
     def run(key, table):
         t = key[0].as_py()
@@ -144,7 +130,7 @@ def _link_block(threshold: float):
             at.append(i)
             to.append(j)
         i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (at, to))
-        lab = minima(number[i], number[j], len(nodes))
+        lab = C.minima(number[i], number[j], len(nodes))
         some = np.flatnonzero((links > 0) | (lab != np.arange(len(nodes))))
         return pa.table({"node": nodes[some], "links": links[some], "to": nodes[lab[some]]})
 

@@ -7,8 +7,8 @@ document id, then place; all others go.
 
 1. Each task reduces its lines to distinct ones and gives a MinHash signature of each, cut into BANDS bands of
    ROWS values (vectorised over characters).
-2. In each band bucket all lines are compared with leaders of the bucket, round by round (`star_links`), by the
-   exact Jaccard similarity of their texts, which are fetched for lines in buckets of two or more only.
+2. In each band bucket lines are linked by the exact Jaccard similarity of their texts (`bucket_links`), which are
+   fetched for lines in buckets of two or more only.
 3. Alternating star steps join the links to components; grouped minima find each component's first line.
 
 Lines are named by 64-bit hashes of their text.
@@ -28,6 +28,8 @@ from . import _common as C
 
 SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
+#: Bytes of text, and characters of lines, in a vectorised pass.
+SLICE, BLOCK = 1 << 19, 1 << 16
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +66,14 @@ class Lines:
             b = np.where(some, ink[np.maximum(hi - 1, 0)] + 1, starts)
         else:
             a = b = starts
-        values = self.salt[points & 255] + (points >> np.uint32(8)).astype(C.U64) * C.U64(0xA0761D6478BD642F)
+        values = self.values(points)
         name = C.hash_spans(values, a, b, self.powers) | C.U64(1)
         name[a == b] = 0
         return text, values, a, b, name.view(np.int64), doc, number
 
+    def values(self, points: np.ndarray) -> np.ndarray:
+        return self.salt[points & 255] + (points >> np.uint32(8)).astype(C.U64) * C.U64(0xA0761D6478BD642F)
+
     def shingles(self, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hashes of the shingles of spans, and offsets of the spans among them."""
         n = np.maximum(b - a - SHINGLE + 1, 1)
@@ -79,9 +84,17 @@ class Lines:
 
 def signatures(lines: Lines, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Keys of the bands, BANDS for each span."""
-    out = np.empty((len(a), BANDS), C.U64)
     if not len(a):
-        return out
+        return np.empty((0, BANDS), C.U64)
+    if len(a) > 1 and int((b - a).sum()) > 2 * BLOCK:  # small enough for the processor's cache
+        cut = np.searchsorted(np.cumsum(b - a), np.arange(BLOCK, int((b - a).sum()), BLOCK))
+        edges = np.unique([0, *cut.tolist(), len(a)])
+        return np.concatenate([signatures(lines, values, a[i:j], b[i:j]) if j - i < len(a) else _keys(lines, values, a, b) for i, j in zip(edges[:-1], edges[1:])])
+    return _keys(lines, values, a, b)
+
+
+def _keys(lines: Lines, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty((len(a), BANDS), C.U64)
     h, offsets = lines.shingles(values, a, b)
     x = (h >> C.U64(32)).astype(np.uint32)
     mul, add = _multipliers()
@@ -115,7 +128,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each line that isn't blank; the band keys come with the first of each line in the task."""
     lines, seen = Lines(), set()
     for whole in batches:
-        for batch in C.slices(whole):
+        for batch in C.slices(whole, "text", SLICE):
             _, values, a, b, name, doc, number = lines(batch.column("text"))
             ink = np.flatnonzero(name)
             distinct, first = np.unique(name[ink], return_index=True)
@@ -133,15 +146,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _texts(wanted: np.ndarray, bits: int):
+def _texts(wanted: np.ndarray):
     """The texts of lines whose name passes a filter; the filter lets some others through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, seen = Lines(), set()
         for whole in batches:
-            for batch in C.slices(whole):
+            for batch in C.slices(whole, "text", SLICE):
                 text, _, a, b, name, _, _ = lines(batch.column("text"))
-                hit = np.flatnonzero((name != 0) & wanted[(name.view(C.U64) >> C.U64(64 - bits)).astype(np.int64)])
+                hit = np.flatnonzero((name != 0) & C.passes(wanted, name))
                 rows = []
                 for i, x in zip(hit.tolist(), name[hit].tolist()):
                     if x not in seen:
@@ -154,20 +167,15 @@ def _texts(wanted: np.ndarray, bits: int):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sim = [jaccard(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
-
-
-def _filter(ids: DataFrame, bits: int = 24) -> np.ndarray:
-    """2**bits flags, those set that the leading bits of names in ids(id) give: of fixed size."""
-    at = ids.select(F.shiftrightunsigned("id", 64 - bits).alias("at"))
-    words = at.selectExpr("shiftright(at, 5) AS w", "shiftleft(1L, CAST(at & 31L AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = words.toArrow()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def _sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes of the shingles of each line, of weight 1."""
+    lines, said = Lines(), column.to_pylist()
+    values = lines.values(np.frombuffer("".join(said).encode("utf-32-le"), np.uint32))
+    ends = np.cumsum([len(t) for t in said])
+    if not len(ends):
+        return []
+    h, offsets = lines.shingles(values, ends - [len(t) for t in said], ends)
+    return [(x, np.ones(len(x))) for x in (np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))]
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -175,20 +183,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     schema = "doc_id long, row_key long, line_no int, id long, bands array<long>"
     found = C.materialize(keyed.mapInArrow(_occurrences, schema), "lines")
-    rows = found.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), "id")
-    bits = 24
-    state: dict[str, DataFrame] = {}
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = C.materialize(pairs, "pairs")
-        if not state:
-            ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()  # the first round has all
-            texts = keyed.select("text").mapInArrow(_texts(_filter(ids, bits), bits), "id long, line string")
-            state["texts"] = C.materialize(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "texts")
-        x, y = (state["texts"].toDF(i, t) for i, t in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, sim double")
-
-    links = C.star_links(rows, verify, THRESHOLD)
+    rows = C.bucket_rows(found.where(F.size("bands") > 0), "bands")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        ids = C.materialize(ids, "ids")
+        out = keyed.select("text").mapInArrow(_texts(C.key_filter(ids)), "id long, line string")
+        return out.join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("text"))
+
+    links = C.materialize(C.bucket_links(rows, texts, _sets, THRESHOLD), "links")
     parts = C.components(links)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key", "line_no")
     first = found.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))

@@ -9,7 +9,7 @@ maxima) is THRESHOLD or more; classes are connected components of links.
 1. One pass counts document frequencies.
 2. A second pass draws HASHES consistent samples of each document (the same shingle and weight give the same
    sample everywhere) and cuts them into BANDS bands. Documents with equal weighted sets become one first.
-3. Buckets of bands are compared by `star_links`: exact similarities, no all-pairs lists.
+3. Documents in one bucket are linked by their exact similarities (`bucket_links`), without lists of all pairs.
 """
 
 from __future__ import annotations
@@ -82,15 +82,6 @@ def bands(sample: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sets, each sorted by hash."""
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    same = y[at] == x if len(y) else np.zeros(len(x), bool)
-    low = np.minimum(v[same], w[at[same]]).sum()
-    return float(low / (v.sum() + w.sum() - low)) if len(x) and len(y) else 0.0
-
-
 # --- on DataFrames -----------------------------------------------------------------------------------------
 
 
@@ -166,26 +157,25 @@ def _named(idf: np.ndarray):
     return run
 
 
-def _compare(idf: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = C.Words()
-        for whole in batches:
-            for batch in C.slices(whole, "x", C.SLICE_BYTES):
-                sides = [weighted_sets(*words(batch.column(c)), idf) for c in ("x", "y")]
-                (x, v, p), (y, w, q) = sides
-                sim = [similarity(x[p[i] : p[i + 1]], v[p[i] : p[i + 1]], y[q[i] : q[i + 1]], w[q[i] : q[i + 1]]) for i in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
+def _sets(idf: np.ndarray):
+    """Weighted sets of each text."""
+
+    def run(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        words, out = C.Words(), []
+        for part in C.slices(pa.RecordBatch.from_arrays([column], names=["text"])):
+            x, w, at = weighted_sets(*words(part.column("text")), idf)
+            out += [(x[a:b], w[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        return out
 
     return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_links, component_id and kept of docs(doc_id, text): one row per distinct non-null id.
+    """doc_id, component_id and kept of docs(doc_id, text): one row per distinct non-null id.
 
-    component_id is the least doc_id of the class, kept tells whether it is the document's own. n_links counts the
-    verified links from the document's weighted set to other such sets, found by comparing with leaders. Null ids
-    have no class and are left out; of repeated ids with different texts each text joins classes and the id has
-    their least one; null, empty and word-less texts are alone; other columns are ignored; an empty table gives
+    component_id is the least doc_id of the class, kept tells whether it is the document's own. Null ids have no
+    class and are left out; of repeated ids with different texts each joins classes and the id has the least of
+    them; null, empty and word-less texts are alone; other columns are ignored; an empty table gives
     an empty result.
     """
     plain = _plain(docs).where("doc_id is not null")
@@ -193,27 +183,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     made = C.materialize(plain.mapInArrow(_sketch(idf), SCHEMA), "sketches")
     # From here on a set stands for all documents that have it.
     heads = made.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    state: dict[str, DataFrame] = {}
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = C.materialize(pairs, "pairs")
-        if not state:  # the first round has all ids
-            ids = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-            own = heads.join(ids, "same", "left_semi").select("doc_id")
-            texts = plain.join(own, "doc_id", "left_semi").mapInArrow(_named(idf), "same long, text string")
-            state["texts"] = C.materialize(texts.join(ids, "same", "left_semi").groupBy("same").agg(F.min("text").alias("text")), "texts")
-        x, y = (state["texts"].toDF(i, t) for i, t in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_compare(idf), "a long, b long, sim double")
-
-    links = C.materialize(C.star_links(made.select(F.explode("bands").alias("key"), F.col("same").alias("id")), verify, threshold), "links")
-    n_links = links.select(F.col("a").alias("same")).union(links.select("b")).groupBy("same").agg(F.count("*").alias("n_links"))
-    parts = C.components(links).select(F.col("id").alias("same"), "component_id").join(n_links, "same")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        ids = C.materialize(ids.toDF("same"), "ids")
+        own = heads.join(ids, "same", "left_semi").select("doc_id")
+        out = plain.join(own, "doc_id", "left_semi").mapInArrow(_named(idf), "same long, text string")
+        return out.join(ids, "same", "left_semi").groupBy("same").agg(F.min("text").alias("text")).toDF("id", "text")
+
+    rows = C.bucket_rows(made.where("same is not null").select("bands", F.col("same").alias("id")), "bands")
+    links = C.bucket_links(rows, texts, _sets(idf), threshold)
+    links = C.materialize(links, "links")
+    parts = C.components(links).withColumnRenamed("id", "same")
     sets = heads.join(parts, "same", "left").withColumn("component_id", F.coalesce("component_id", "same"))
     least = sets.groupBy("component_id").agg(F.min("doc_id").alias("c"))
-    of_set = C.materialize(sets.join(least, "component_id").select("same", "c", "n_links"), "classes")
+    of_set = C.materialize(sets.join(least, "component_id").select("same", "c"), "classes")
     out = made.select("doc_id", "same").join(of_set, "same", "left").groupBy("doc_id")
-    out = out.agg(F.min(F.coalesce("c", "doc_id")).alias("component_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    return out.select("doc_id", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.agg(F.min(F.coalesce("c", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

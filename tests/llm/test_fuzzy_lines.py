@@ -56,8 +56,9 @@ def corpus(seed):
     return docs + [(100, None), (101, ""), (102, "\n\n"), (103, "q" * 20000 + "\n" + "q" * 20000)]
 
 
-def test_equals_brute_force(spark):
-    for seed in (1, 2):
+def test_equals_brute_force(spark, monkeypatch):
+    for seed, small in ((1, C.SMALL_BUCKET), (2, 2)):
+        monkeypatch.setattr(C, "SMALL_BUCKET", small)
         docs = corpus(seed)
         df = spark.createDataFrame([(*d, 7, "z") for d in docs], "doc_id long, text string, id int, n_lines string")
         out = L.dedup_lines(df)

@@ -68,6 +68,13 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([d for d, c in want.items() if d == c] + [0])
 
 
+def test_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(C, "SMALL_BUCKET", 3)
+    docs = corpus()
+    got = M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(docs)[0]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert M.near_duplicates(none).count() == 0 and M.keep_one(none).count() == 0
@@ -85,5 +92,17 @@ def test_samples_estimate_similarity():
         v, w = v[order], w[order]
         s = M.samples(np.concatenate([y, y]), np.concatenate([v, w]), np.array([0, 300, 600]))
         total += (s[0] == s[1]).mean() / 60
-        want += M.similarity(y, v, y, w) / 60
+        want += C.jaccard(y, v, y, w) / 60
     assert abs(total - want) < 0.03
+
+
+def test_matrix_of_similarities():
+    rng = np.random.default_rng(7)
+    pool = np.unique(rng.integers(0, 1 << 62, 60).astype(C.U64))
+    sets = []
+    for n in [0, 1, 5, *rng.integers(10, 60, 30)]:
+        x = np.sort(rng.choice(pool, min(n, len(pool)), replace=False))
+        sets.append((x, rng.choice([1.0, 1.5, 3.0, 0.25], len(x))))
+    got = C.jaccard_matrix(sets, dense=4, width=7)
+    want = [[C.jaccard(*a, *b) for b in sets] for a in sets]
+    assert np.allclose(got, want)
