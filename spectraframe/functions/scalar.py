@@ -42,6 +42,11 @@ def accession_code_prefix(code: Column) -> Column:
     return out
 
 
+def tag_name(code: Column) -> Column:
+    """The element of a tag code; null for unknown ones."""
+    return F.get(F.array(*(F.lit(t) for t in S.TAGS)), code.cast("int"))
+
+
 def normal_ms_tail(tail: Column) -> Column:
     """Tails below a million get a million added; 0 stays."""
     return F.when((tail > 0) & (tail < 1_000_000), tail + 1_000_000).otherwise(tail).cast("long")

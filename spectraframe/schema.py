@@ -17,6 +17,16 @@ POLARITY_UNKNOWN, POLARITY_POSITIVE, POLARITY_NEGATIVE = 0, 1, 2
 UNIT_OTHER, UNIT_SECOND, UNIT_MINUTE, UNIT_MILLISECOND = 0, 1, 2, 3
 VALUE_NUMBER, VALUE_TEXT, VALUE_EMPTY = 0, 1, 2
 
+# Elements by their tag code in stored metadata; 255 is unknown.
+TAGS = (
+    "fileContent", "sourceFile", "contact", "referenceableParamGroup", "sample", "instrumentConfiguration", "source", "analyzer", "detector", "software", "processingMethod", "scanSettings",
+    "target", "run", "spectrum", "spectrumDescription", "scan", "scanWindow", "precursor", "isolationWindow", "selectedIon", "activation", "product", "binaryDataArray", "chromatogram",
+    "fileDescription", "sourceFileList", "sourceFileRef", "sourceFileRefList", "referenceableParamGroupList", "referenceableParamGroupRef", "sampleList", "instrumentConfigurationList",
+    "componentList", "softwareList", "softwareParam", "softwareRef", "dataProcessing", "dataProcessingList", "scanSettingsList", "acquisitionSettings", "acquisitionSettingsList", "targetList",
+    "spectrumList", "scanList", "scanWindowList", "precursorList", "selectedIonList", "productList", "binaryDataArrayList", "binary", "chromatogramList", "cvParam", "userParam", "cvList", "cv",
+    "mzML", "indexList", "indexListOffset", "fileChecksum", "indexedmzML",
+)
+
 #: Items of a metadata group, bound of a window number, and the default width of m/z windows.
 GROUP_ITEMS, MAX_WINDOW, MZ_WIDTH = 8192, 1 << 20, 20.0
 

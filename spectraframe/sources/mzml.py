@@ -259,6 +259,19 @@ def peaks(spectra_: DataFrame, width: float = S.MZ_WIDTH) -> DataFrame:
     return out.select("run_id", "spectrum_index", "pos", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"), fn.window_index(F.col("p.mz"), width).alias("mz_bin"))
 
 
+def dangling_references(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
+    """(source_path, kind, ref) of spectra's references that name nothing in their document: parameter groups, data
+    processing and precursor spectra."""
+    s = spectra(spark, path, charset)
+    one = lambda kind, x: s.select("source_path", F.lit(kind).alias("kind"), x.alias("ref")).where("ref IS NOT NULL")
+    refs = one("param_group", F.explode("param_group_refs")).union(one("data_processing", F.col("data_processing_ref"))).union(one("spectrum", F.explode("precursor_refs")))
+    groups = head(spark, path, "referenceableParamGroupList", charset).select("source_path", F.explode("referenceableParamGroup").alias("g"))
+    processing = head(spark, path, "dataProcessingList", charset).select("source_path", F.explode("dataProcessing").alias("g"))
+    ids = [x.select("source_path", F.lit(k).alias("kind"), F.col("g._id").alias("ref")) for k, x in (("param_group", groups), ("data_processing", processing))]
+    known = ids[0].union(ids[1]).union(s.select("source_path", F.lit("spectrum").alias("kind"), F.col("id").alias("ref")))
+    return refs.distinct().join(known.distinct(), ["source_path", "kind", "ref"], "left_anti")
+
+
 def parameters(spectra_: DataFrame) -> DataFrame:
     """A row for each parameter of each spectrum: where it stands (level), its place, and its fields.
 

@@ -214,3 +214,14 @@ def test_conversions(spark, tmp_path):
     cols = ["spectrum_index", "ms_level", "polarity", "rt", "rt_unit", "base_peak_mz", "total_ion_current", "selected_ion_mz"]
     rows = lambda df: sorted(str(r) for r in df.select(*cols).collect())
     assert rows(summaries.spectrum_summaries(mzml.parameters(spectra))) == rows(spectra)
+
+
+@pytest.mark.skipif(not os.path.isdir(FIXTURES), reason="no fixtures")
+def test_references(spark, tmp_path):
+    text = open(f"{FIXTURES}/tiny.pwiz.1.1.mzML", encoding="latin-1").read()
+    path = tmp_path / "bad.mzML"
+    path.write_text(text.replace('spectrumRef="scan=19"', 'spectrumRef="scan=99"', 1), encoding="latin-1")
+    assert [(r.kind, r.ref) for r in mzml.dangling_references(spark, str(path)).collect()] == [("spectrum", "scan=99")]
+    assert mzml.dangling_references(spark, f"{FIXTURES}/tiny.pwiz.1.1.mzML").count() == 0
+    got = spark.createDataFrame([(14,), (52,), (255,)], "t int").select(fn.tag_name(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == ["spectrum", "cvParam", None]
