@@ -448,7 +448,8 @@ def repeated_keys(table: DataFrame, keys: str, most: int = 1 << 19) -> DataFrame
         def rows():
             key, lo, hi = least(*(np.concatenate(x) for x in zip(*held)))
             ends = np.searchsorted(key, np.arange(1, 1 << bits).astype(U64) << U64(64 - bits))
-            parts = [[x.tobytes() for x in np.split(v, ends)] for v in (key, lo, hi)]
+            # Differences of sorted keys, and of the two ids, have zero bytes that shuffles compress.
+            parts = [[np.diff(x, prepend=U64(0)).tobytes() for x in np.split(key, ends)], *([x.tobytes() for x in np.split(v, ends)] for v in (lo, lo ^ hi))]
             some = [i for i, x in enumerate(parts[0]) if x]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([p[i] for i in some], pa.binary()) for p in parts)], names=["part", "key", "lo", "hi"])
 
@@ -466,8 +467,9 @@ def repeated_keys(table: DataFrame, keys: str, most: int = 1 << 19) -> DataFrame
             yield rows()
 
     def join(key, table):
-        read = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
-        k, lo, hi = least(read("key", U64), read("lo", np.int64), read("hi", np.int64))
+        k = np.concatenate([np.cumsum(np.frombuffer(x, U64), dtype=U64) for x in table["key"].to_pylist()])
+        lo, both = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("lo", "hi"))
+        k, lo, hi = least(k, lo, lo ^ both)
         return pa.table({"key": k[lo < hi].view(np.int64)})
 
     return table.select(keys, "id").mapInArrow(cut, "part int, key binary, lo binary, hi binary").groupBy("part").applyInArrow(join, "key long")

@@ -40,7 +40,7 @@ CHUNK_CHARS = 6 << 20
 #: Bytes of text in a vectorised pass.
 SLICE = 1 << 18
 #: Words in the cache, at most, and documents of the sample that they come from, on average.
-CACHE_WORDS, CACHE_DOCS = 1 << 18, 8_000
+CACHE_WORDS, CACHE_DOCS = 1 << 19, 30_000
 
 # --- words -----------------------------------------------------------------------------------------
 
@@ -52,12 +52,13 @@ _CONTRACTED = ("s", "t", "re", "ve", "m", "ll", "d")
 def class_runs() -> tuple[np.ndarray, np.ndarray]:
     """The classes of all code points, as the pattern's own engine sees them: classes of runs, and their lengths."""
     kinds = np.full(0x110000, _OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    at = np.array(points)
-    for kind, expr in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\s+")):
-        for m in regex.finditer(expr, every):
-            kinds[at[m.start() : m.end()]] = kind
+    for lo in range(0, 0x110000, 1 << 14):
+        at = np.arange(lo, lo + (1 << 14))
+        at = at[(at < 0xD800) | (at >= 0xE000)]  # no surrogates
+        block = "".join(map(chr, at.tolist()))
+        for kind, expr in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\s+")):
+            for m in regex.finditer(expr, block):
+                kinds[at[m.start() : m.end()]] = kind
     begins = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
     return kinds[begins], np.diff(np.append(begins, len(kinds)))
 
@@ -156,15 +157,20 @@ class _Chunk:
         self.counts.append(np.diff(at).astype(np.int64))
         self.chars += len(text)
 
-    def row(self, ranks: dict[bytes, int], single: list[bytes], cache: Cache) -> pa.RecordBatch:
+    def distinct(self):
+        """Hashes of the distinct words, an iterator of their bytes, the numbers of all words among them, and counts."""
         h, starts, ends = (np.concatenate(x) for x in zip(*self.spans))
         first = np.cumsum([0] + [len(x[0]) for x in self.spans])
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+        distinct, where, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         of = np.searchsorted(first, where, "right") - 1
-        codes, words, coded = np.empty(len(distinct), np.int32), [], []
         texts = self.texts
-        for i, (k, s, e, c) in enumerate(zip(of.tolist(), starts[where].tolist(), ends[where].tolist(), cache.find(distinct).tolist())):
-            word = texts[k][s:e].encode()
+        words = (texts[k][s:e].encode() for k, s, e in zip(of.tolist(), starts[where].tolist(), ends[where].tolist()))
+        return distinct, words, back, n
+
+    def row(self, ranks: dict[bytes, int], single: list[bytes], cache: Cache) -> pa.RecordBatch:
+        distinct, every, back, _ = self.distinct()
+        codes, words, coded = np.empty(len(distinct), np.int32), [], []
+        for i, (word, c) in enumerate(zip(every, cache.find(distinct).tolist())):
             ids = cache.get(c, word) if c >= 0 else None
             if ids is None:
                 codes[i] = len(words)
@@ -214,18 +220,26 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def _cache(docs: DataFrame, ranks: dict[bytes, int], rank: RankMap, runs) -> Cache:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _Words(runs)
+        split, chunk = _Words(runs), _Chunk()
         single = [ranks[bytes([i])].to_bytes(2, "big") for i in range(256)]
+
+        def rows() -> pa.RecordBatch:
+            h, words, _, n = chunk.distinct()
+            words = list(words)
+            cols = [pa.array(h.view(np.int64)), pa.array(words, pa.binary()), pa.array([_start(w, ranks, single) for w in words], pa.binary()), pa.array(n.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(cols, names=["h", "word", "start", "n"])
+
         for whole in batches:
             for batch in C.slices(whole, "text", SLICE):
-                text, starts, ends, _, h = split(batch.column("text"))
-                new, where, n = np.unique(h, return_index=True, return_counts=True)
-                words = [text[s:e].encode() for s, e in zip(starts[where].tolist(), ends[where].tolist())]
-                cols = [pa.array(new.view(np.int64)), pa.array(words, pa.binary()), pa.array([_start(w, ranks, single) for w in words], pa.binary()), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "word", "start", "n"])
+                chunk.add(batch.column("doc_id"), *split(batch.column("text")))
+                if chunk.chars > CHUNK_CHARS:
+                    yield rows()
+                    chunk = _Chunk()
+        if chunk.ids:
+            yield rows()
 
     few = _plain(docs).where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, CACHE_DOCS / max(1, docs.count()))))
-    words = few.mapInArrow(run, "h long, word binary, start binary, n long").groupBy("h").agg(F.min("word").alias("word"), F.min_by("start", "word").alias("start"), F.sum("n").alias("n"))
+    words = few.mapInArrow(run, "h long, word binary, start binary, n long").groupBy("h", "word", "start").agg(F.sum("n").alias("n"))
     words = C.materialize(words, "words")
     sizes = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().collect()), reverse=True)
     least, total = 1, 0
@@ -405,7 +419,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, full: bool = Fals
     ranks, runs = read_ranks(path or default_path()), class_runs()
     rank, pieces = RankMap(ranks), _pieces(ranks)
     chunks = _plain(docs).mapInArrow(_chunker(ranks, _cache(docs, ranks, rank, runs), runs), _CHUNK_SCHEMA)
-    coded = chunks.withColumn("ids", encode_words(F.col("words"), rank)).drop("words")
+    # A written table between the two Arrow functions: each stage then runs one Python worker for a task, not two.
+    coded = C.materialize(chunks.withColumn("ids", encode_words(F.col("words"), rank)).drop("words"), "chunks")
     coded = coded.withColumns({"pieces": decode_words(F.col("ids"), pieces), "coded_pieces": decode_words(F.col("coded"), pieces)})
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return coded.mapInArrow(_assemble(full), schema + ", ids array<int>, decoded binary" * full)

@@ -30,6 +30,7 @@ SHINGLE, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
 #: Bytes of text, and characters of lines, in a vectorised pass.
 SLICE, BLOCK = 1 << 19, 1 << 16
+PAD = 16
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -96,13 +97,21 @@ def signatures(lines: Lines, values: np.ndarray, a: np.ndarray, b: np.ndarray) -
 def _keys(lines: Lines, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty((len(a), BANDS), C.U64)
     h, offsets = lines.shingles(values, a, b)
-    x = (h >> C.U64(32)).astype(np.uint32)
+    # Shingles in columns of PAD, each line's last column filled up with its first shingle: minima of columns are
+    # vectorised, and only these are then reduced line by line.
+    n = np.diff(offsets)
+    columns = -(-n // PAD)
+    begin = np.concatenate([[0], np.cumsum(columns)])
+    place = np.arange(int(begin[-1]) * PAD) - np.repeat(begin[:-1] * PAD, columns * PAD)
+    place = np.where(place < np.repeat(n, columns * PAD), place, 0) + np.repeat(offsets[:-1], columns * PAD)
+    x = np.ascontiguousarray((h >> C.U64(32)).astype(np.uint32)[place].reshape(-1, PAD).T)
     mul, add = _multipliers()
     for band in range(BANDS):
         acc = np.full(len(a), C.U64(band))
         for r in range(ROWS):
             k = band * ROWS + r
-            acc = C.mix(acc * C.U64(0xD6E8FEB86659FD93) + np.minimum.reduceat(x * mul[k] + add[k], offsets[:-1]), 43)
+            least = np.minimum.reduceat((x * mul[k] + add[k]).min(axis=0), begin[:-1])
+            acc = C.mix(acc * C.U64(0xD6E8FEB86659FD93) + least, 43)
         out[:, band] = acc
     return out
 

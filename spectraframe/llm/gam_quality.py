@@ -243,13 +243,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
         for whole in batches:
             for batch in C.slices(whole):
                 x = features(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["doc_id", "x"])
 
     # At most MAX_TRAIN ids are broadcast.
-    got = _plain(docs).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(run, "doc_id long, x array<float>").collect()
-    x = {r.doc_id: r.x for r in got}
-    rows = [r for r in rows if r.doc_id in x]
-    return fit(np.array([x[r.doc_id] for r in rows], np.float32).reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], float))
+    got = _plain(docs).join(F.broadcast(wanted), "doc_id", "left_semi").mapInArrow(run, "doc_id long, x array<float>").toArrow()
+    x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    at = dict(zip(got["doc_id"].to_pylist(), range(got.num_rows)))
+    rows = [(at[r.doc_id], r.quality) for r in rows if r.doc_id in at]
+    return fit(x[[i for i, _ in rows]], np.array([q for _, q in rows], float))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
