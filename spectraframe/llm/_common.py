@@ -313,7 +313,7 @@ def jaccard_matrix(sets: list[tuple[np.ndarray, np.ndarray]], dense: int = 8, wi
     x = np.concatenate([s[0] for s in sets])
     w = np.concatenate([s[1] for s in sets]).astype(np.float64)
     of = np.repeat(np.arange(n), [len(s[0]) for s in sets])
-    order = np.lexsort((w, x))
+    order = np.lexsort((w, x)) if len(w) and w.min() != w.max() else np.argsort(x, kind="stable")
     x, w, of = x[order], w[order], of[order]
     first = np.append(True, x[1:] != x[:-1])
     begin = np.flatnonzero(first)
@@ -370,8 +370,10 @@ def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame
     """
     most = SMALL_BUCKET
     rows = materialize(rows.distinct(), "rows")
-    size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    near = materialize(rows.join(size, "key"), "near")
+    # Bands that put the same ids together make equal buckets, of which one is enough.
+    name = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    size = rows.groupBy("key").agg(F.count("*").alias("n"), *name).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    near = materialize(rows.join(size.select("key", "n"), "key"), "near")
     held = materialize(texts(near.select("id").distinct()), "texts")
     edge = threshold - 1e-9  # sums of the matrix are rounded; pairs at the edge are worked out one by one
 
@@ -379,8 +381,14 @@ def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame
         key, ids, objects = None, [], []
 
         def done():
-            if len(ids) == 2:
-                return [(ids[0], ids[1])] if jaccard(*objects[0], *objects[1]) >= threshold else []
+            if len(ids) <= 8:
+                up = list(range(len(ids)))
+                for i in range(len(ids)):
+                    for j in range(i + 1, len(ids)):
+                        if up[i] != up[j] and jaccard(*objects[i], *objects[j]) >= threshold:
+                            a, b = sorted((up[i], up[j]))
+                            up = [a if u == b else u for u in up]
+                return [(ids[u], ids[k]) for k, u in enumerate(up) if u != k]
             sim = jaccard_matrix(objects)
             i, j = np.nonzero(np.triu(sim >= edge, 1))
             close = sim[i, j] < threshold + 1e-9
