@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 18
 #: Ids of a bucket that one task compares by itself.
 SMALL_BUCKET = 2048
+#: Ids of a larger bucket that go to all of its blocks, about.
+COMMON = 16
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -232,64 +234,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return low.withColumnRenamed("u", "id").union(roots).groupBy("id").agg(F.min("component_id").alias("component_id"))
 
 
-def star_links(rows: DataFrame, verify, threshold: float) -> DataFrame:
-    """Links (a, b, sim) of similarity `threshold` or more in buckets, without all pairs: rows(key long, id long).
+def rest_blocks(sized: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """Sets of about `most` ids, (key, id), that hold each pair which links leave apart in a bucket: sized(key, id, n).
 
-    The links join the same ids to components as all links between ids of a bucket would. verify(pairs(a, b)) gives
-    the exact similarity `sim` of each pair, one minus which must be a metric. Rounds:
-
-    - Each bucket's leader is the pending id that meets the most others over all its buckets (the middle of a
-      group of edited copies meets more of them than the copies do); all ids of the bucket are compared with it.
-    - Ids that match are settled. Ids that don't stay pending for the next round. By the triangle inequality a
-      settled id can only match a pending one if their similarities to the leader differ by at most
-      1 - threshold; settled ids for which that may hold stay to be compared with the next leaders.
-    - Buckets whose ids are all in one component by the links of all buckets are done.
-    - From the second round on, 8, 64, 512... leaders are taken by hash, so that a bucket of m ids of which none
-      match is done in a few rounds. Rounds end when no bucket holds a pending id and another.
-
-    Leaders come from grouped maxima and comparisons from equi-joins; no bucket is gathered in one task.
+    The largest component of a bucket needs no comparison within itself; the other ids, the rest, are to be compared
+    with all of the bucket. Both are cut into blocks by hash, and each block of the rest meets each other block.
+    Buckets in one component give no rows.
     """
-    spark = rows.sparkSession
-    multi = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    cur = materialize(rows.join(multi, "key", "left_semi").select("key", "id").distinct(), "near")
-    size = cur.groupBy("key").agg(F.count("*").alias("n"))
-    weight = cur.join(size, "key").groupBy("id").agg(F.sum("n").alias("weight"))
-    cur = cur.join(weight, "id").select("key", "id", "weight", F.lit(True).alias("pending"), F.col("id").alias("part"))
-    out, seen = spark.createDataFrame([], "a long, b long, sim double"), None
-    for turn in range(20):
-        cur = materialize(cur, "near")
-        rank = F.struct("weight", (-F.col("id")).alias("minus"))
-        heads = cur.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count_if("pending").alias("p"), F.max(F.when(F.col("pending"), rank)).alias("top"))
-        heads = heads.where("p0 < p1 and p > 0").select("key", "p", (-F.col("top.minus")).alias("top"))
-        by_hash = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.floor(F.col("p") / (1 << 3 * turn)), F.lit(1))) == 0
-        lead = cur.where("pending").join(heads, "key").where((F.col("id") == F.col("top")) | (F.lit(turn > 0) & by_hash))
-        lead = lead.select("key", F.col("id").alias("lead"), F.col("part").alias("lead_part"))
-        near = cur.join(lead, "key").where("id <> lead")
-        near = materialize(near.withColumns({"a": F.least("id", "lead"), "b": F.greatest("id", "lead")}), "near")
-        pairs = near.where("part <> lead_part").select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        sims = materialize(verify(pairs).select("a", "b", "sim"), "sims")
-        seen = sims if seen is None else seen.union(sims)
-        out = out.union(sims.where(F.col("sim") >= threshold))
-        # Pairs within a component that were never compared count as matches of unknown similarity.
-        led = lead.select("key", F.col("lead").alias("id"), F.lit(True).alias("led"))
-        got = near.join(seen, ["a", "b"], "left").join(led, ["key", "id"], "left")
-        got = materialize(got.select("key", "id", "weight", "pending", "lead", "sim", F.coalesce("led", F.lit(False)).alias("led")), "got")
-        best = got.where("not led").groupBy("key", "id").agg(F.max("weight").alias("weight"), F.max("pending").alias("pending"), F.max(F.coalesce("sim", F.lit(1.0))).alias("best"))
-        wait = materialize(best.where(F.col("pending") & (F.col("best") < threshold)).select("key", "id", "weight", "pending"), "wait")
-        if wait.isEmpty():
-            break
-        closest = got.join(wait.select("key", "id"), ["key", "id"], "left_semi").groupBy("key", "lead").agg(F.max("sim").alias("closest"))
-        rest = got.where("not led").join(wait.select("key", "id"), ["key", "id"], "left_anti").join(closest, ["key", "lead"])
-        rest = rest.groupBy("key", "id").agg(F.max("weight").alias("weight"), F.max(F.col("sim") - F.col("closest")).alias("over"))
-        rest = rest.where(F.coalesce("over", F.lit(0.0)) <= 1 - threshold + 1e-9).select("key", "id", "weight", F.lit(False).alias("pending"))
-        cur = wait.unionByName(rest).join(components(out).withColumnRenamed("component_id", "part"), "id", "left")
-        cur = cur.withColumn("part", F.coalesce("part", "id")).select("key", "id", "weight", "pending", "part")
-    return out
+    half = max(most // 2, 1)
+    parts = components(links).withColumnRenamed("component_id", "part")
+    cur = materialize(sized.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
+    sizes = cur.groupBy("key", "part").agg(F.count("*").alias("m"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("n")).where("top.m < n")
+    blocks = top.select("key", F.col("top.part").alias("main"), F.ceil((F.col("n") - F.col("top.m")) / half).cast("int").alias("rb"), F.ceil(F.col("top.m") / half).cast("int").alias("mb"))
+    cur = cur.select("key", "id", "part").join(blocks, "key")
+    rest = F.col("part") != F.col("main")
+    by_hash = F.xxhash64("id", F.lit(3))
+    cur = cur.withColumn("x", F.when(rest, F.pmod(by_hash, F.col("rb"))).otherwise(F.col("rb") + F.pmod(by_hash, F.col("mb"))).cast("int"))
+    last = F.when(rest, F.col("rb") + F.col("mb")).otherwise(F.col("rb")) - 1
+    cur = cur.select("key", "id", "x", F.explode(F.sequence(F.lit(0), last)).alias("y")).where("x <> y")
+    return cur.select(F.xxhash64("key", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "id")
 
 
 def jaccard(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -365,8 +329,10 @@ def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame
 
     Ids are linked at a weighted Jaccard similarity of `threshold` or more. Buckets of up to SMALL_BUCKET ids are
     dealt with where they are: their texts come sorted by bucket, all similarities are worked out as one matrix, and
-    one link for each further id of a component goes out. Larger buckets go through `star_links`. texts(ids) gives
-    (id, text) of ids(id); prepare(column) gives (sorted hashes, weights) of each text of a string column.
+    one link for each further id of a component goes out. Larger buckets are cut into blocks by hash, with a few ids
+    that go to all blocks and so join them, and then each pair that is still apart is compared (`rest_blocks`): no
+    task gets an unbounded bucket, and no pair is left out. texts(ids) gives (id, text) of ids(id); prepare(column)
+    gives (sorted hashes, weights) of each text of a string column.
     """
     most = SMALL_BUCKET
     rows = materialize(rows.distinct(), "rows")
@@ -413,24 +379,19 @@ def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame
         if len(ids) > 1 and (found := done()):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    small = near.where(F.col("n") <= most).select("key", "id").join(held, "id").select("key", "id", "text")
-    links = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(local, "a long, b long")
-
-    def compare(batches):
-        for whole in batches:
-            for batch in slices(whole, "x", 8 * SLICE_BYTES):
-                sides = [batch.column(c).dictionary_encode() for c in ("x", "y")]
-                made = [prepare(x.dictionary) for x in sides]
-                sim = [jaccard(*made[0][i], *made[1][j]) for i, j in zip(*(x.indices.to_pylist() for x in sides))]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (held.toDF(i, t) for i, t in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, sim double")
+    def linked(sets: DataFrame) -> DataFrame:
+        full = sets.join(held, "id").select("key", "id", "text")
+        return full.repartition("key").sortWithinPartitions("key", "id").mapInArrow(local, "a long, b long")
 
-    large = near.where(F.col("n") > most).select("key", "id")
+    links = linked(near.where(F.col("n") <= most).select("key", "id"))
+    large = near.where(F.col("n") > most)
     if not large.isEmpty():
-        links = links.union(star_links(large, verify, threshold).select("a", "b"))
+        cut = F.ceil(F.col("n") / max(most // 2, 1)).cast("int")
+        common = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / COMMON)) == 0
+        own = F.pmod(F.xxhash64("id", F.lit(2)), cut).cast("int")
+        block = F.explode(F.when(common, F.sequence(F.lit(0), cut - 1)).otherwise(F.array(own)))
+        links = materialize(links.union(linked(large.select("key", "id", block.alias("x")).select(F.xxhash64("key", "x").alias("key"), "id"))), "links")
+        links = links.union(linked(rest_blocks(large, links, most)))
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
