@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no item of the benchmark."""
-    return spaced_seeds.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return spaced_seeds.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), any_stretch=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 Fixed masks over runs of eight words keep six positions and ignore two, so that a run still meets its source
 when ignored words were substituted. Hashes of the kept words of every run of the benchmark are looked up from
 every run of the documents. Each hit fixes an alignment of a document with an item; the whole alignment is then
-compared word by word, and its best stretch, where matches score 1 and substitutions -4 (at least four matches
-for each substitution), decides. The two masks together hit every stretch of 13 words with up to two
-substitutions. Items of fewer than 13 words also use masks of four kept words.
+compared word by word, where matches score 1 and substitutions -4. In the query and the pipeline an alignment
+counts if any stretch of 13 words (of a shorter item: all of it) has at least four matches for each substitution,
+wherever these are; the functions' default counts it only if its best-scoring stretch is so long. The two masks
+together hit every stretch of 13 words with up to two substitutions. Items of fewer than 13 words also use masks
+of four kept words.
 
 The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one pass over the documents for
 each, so what is sent at once has a fixed bound whatever the benchmark's size.
@@ -101,20 +103,27 @@ class Block:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
-def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """Begin, end and matches of the stretch with the best sum of 1 for a match and -PENALTY otherwise.
+def best_stretch(same: np.ndarray, least: int = 0) -> tuple[int, int, int]:
+    """Begin, end and matches of the stretch of `least` words or more with the best sum of 1 for a match and -PENALTY otherwise.
 
     Of several the longest, and of those the first.
     """
     sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -PENALTY))])
-    low = np.minimum.accumulate(sums)
-    gain = sums - low
+    low = np.minimum.accumulate(sums)[: len(sums) - least]
+    gain = sums[least:] - low
     ends = np.flatnonzero(gain == gain.max())
     begins = np.searchsorted(-low, -low[ends])  # the first place with that low
+    ends = ends + least
     k = int(np.argmax(ends - begins))
     return int(begins[k]), int(ends[k]), int(same[begins[k] : ends[k]].sum())
 
 
+def tolerated(same: np.ndarray, size: int) -> bool:
+    """Whether any stretch of `size` words has PENALTY matches or more for each substitution."""
+    gone = np.concatenate([[0], np.cumsum(~same)])
+    return len(same) >= size and int((gone[size:] - gone[:-size]).min()) <= size // (1 + PENALTY)
+
+
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_matches long"
 
 
@@ -132,7 +141,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
     yield Block.build(items, texts)
 
 
-def _finder(block: Block):
+def _finder(block: Block, any_stretch: bool):
     """For a string column: rows of overlaps, the first a row number of the column."""
     words, bloom = C.Words(), block.bloom()
 
@@ -143,8 +152,11 @@ def _finder(block: Block):
         for d, item, begin in block.hits(h, doc, bloom).tolist():
             a, b = block.offsets[item], block.offsets[item + 1]
             lo, hi = max(begin, int(offsets[d])), min(begin + int(b - a), int(offsets[d + 1]))
-            s, e, same = best_stretch(h[lo:hi] == block.words[a + lo - begin : a + hi - begin])
-            if e - s >= min(WORDS, int(b - a)):
+            equal, least = h[lo:hi] == block.words[a + lo - begin : a + hi - begin], min(WORDS, int(b - a))
+            if any_stretch and not tolerated(equal, least):
+                continue
+            s, e, same = best_stretch(equal, least if any_stretch else 0)
+            if e - s >= least:
                 got = (same, -(lo + s), d, item, e - s)
                 key = (d, item)
                 if key not in best or got > best[key][0]:
@@ -154,17 +166,19 @@ def _finder(block: Block):
     return find
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, any_stretch: bool = False) -> DataFrame:
     """Overlaps of docs(doc_id, text) with benchmark(item_id, text): the best one of each pair of rows.
 
     Columns doc_id, item_id, first word in the document and in the item (from 0), words, matching words. Null and
     empty texts and items, and items of under five words, overlap with nothing; repeated rows each give their
     own; ties go to the earlier place; an empty table on either side gives no rows; other columns are ignored.
+    any_stretch: any stretch of WORDS words (or the whole shorter item) with enough matches makes an overlap, which
+    the seeds are sure to meet; otherwise the stretch with the best sum has to be so long.
     """
 
     def finder(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = _finder(block)
+            find = _finder(block, any_stretch)
             for whole in batches:
                 for batch in C.slices(whole):
                     rows = find(batch.column("text"))
@@ -179,14 +193,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, (plain.mapInArrow(finder(b), SCHEMA) for b in _blocks(benchmark)))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that overlap with no item."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, any_stretch: bool = False) -> DataFrame:
+    """The rows of docs, with their columns, that overlap with no item; any_stretch as in `overlaps`."""
     names = docs.columns
     out = docs.withColumn("text", F.col("text").cast("string"))
 
     def keeper(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = _finder(block)
+            find = _finder(block, any_stretch)
             for whole in batches:
                 for batch in C.slices(whole):
                     keep = np.ones(batch.num_rows, bool)
@@ -201,4 +215,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return overlaps(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), any_stretch=True)
