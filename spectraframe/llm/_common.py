@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,14 +112,45 @@ def _word_table() -> np.ndarray:
     return t
 
 
-def spans_where(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of true flags that stay within a document: starts, ends, document numbers."""
+#: Code points of scripts that are written without spaces (South-East Asian, CJK, kana, bopomofo, Yi).
+UNSPACED = (
+    (0xE00, 0xF00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x19E0), (0x1A20, 0x1AB0), (0x1B00, 0x1B80), (0x2E80, 0x2FE0),
+    (0x3000, 0x3130), (0x31A0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA4D0), (0xA980, 0xAA00), (0xAA60, 0xAA80), (0xF900, 0xFB00),
+    (0xFF66, 0xFFA0), (0x16FE0, 0x18D80), (0x1AFF0, 0x1B170), (0x20000, 0x32400),
+)
+
+
+@lru_cache(maxsize=1)
+def word_kinds() -> np.ndarray:
+    """For all code points: 1 for letters, marks, digits and the underscore, 2 for those that are words of their own."""
+    kinds = np.fromiter((unicodedata.category(chr(i))[0] in "LMN" or i == 95 for i in range(0x110000)), np.uint8, 0x110000)
+    for a, b in UNSPACED:
+        kinds[a:b] *= 2
+    return kinds
+
+
+def beyond_ascii(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and code points of the characters beyond ASCII in UTF-8 bytes."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    point = lead & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        point[more] = point[more] << 6 | data[at[more] + k] & 0x3F
+    return at, size, point
+
+
+def spans_where(flags: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of true flags that stay within a document and between cuts: starts, ends, document numbers."""
     n = len(flags)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    if cuts is not None:
+        cut[cuts] = True
     first = flags.copy()
     first[1:] &= ~flags[:-1] | cut[1:n]
     last = flags.copy()
@@ -128,7 +161,10 @@ def spans_where(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Words:
-    """Words of text batches as hashes: lower case, runs of letters, digits and underscores."""
+    """Words of text batches as hashes: lower case, runs of letters, marks, digits and underscores.
+
+    In scripts that are written without spaces each character is a word. is_word flags bytes: all beyond ASCII.
+    """
 
     def __init__(self) -> None:
         self.is_word, self.table, self.powers = _word_table(), _byte_table(), Powers()
@@ -141,7 +177,15 @@ class Words:
     def spans(self, column: pa.Array):
         """Hashes, byte starts and ends in the lowered bytes, and offsets of the documents."""
         data, offsets = text_bytes(pc.utf8_lower(pc.fill_null(column.cast(pa.string()), "")))
-        starts, ends, doc = spans_where(self.is_word[data], offsets)
+        flags, cuts = self.is_word[data], None
+        at, size, point = beyond_ascii(data)
+        if len(at):
+            kind = word_kinds()[point]
+            for k in range(4):
+                flags[(at + k)[(kind == 0) & (size > k)]] = False
+            alone = kind == 2
+            cuts = np.concatenate([at[alone], (at + size)[alone]])
+        starts, ends, doc = spans_where(flags, offsets, cuts)
         h = hash_spans(self.table[data], starts, ends, self.powers)
         return h, starts, ends, np.searchsorted(doc, np.arange(len(offsets)), "left")
 
