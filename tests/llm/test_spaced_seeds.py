@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 from spectraframe.llm import spaced_seeds as S
 
@@ -58,3 +59,22 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert S.overlaps(one, bench).count() == 0 and S.drop_leaks(one, bench).count() == 1
     assert S.overlaps(none, one.toDF("item_id", "text")).count() == 0
+
+
+def test_repeated_words_and_many_items(spark, monkeypatch):
+    docs = [(1, "no " * 20_000), (2, "yes no " * 3_000), (3, "no " * 4 + "else"), (4, "other words " * 10)]
+    items = [(j, "no " * 400) for j in range(3)] + [(9, "yes no " * 40), (10, "so " * 30)]
+    t = time.time()
+    for most in (S.ITEMS, 2):
+        monkeypatch.setattr(S, "ITEMS", most)
+        got = S.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), any_stretch=True).collect()
+        assert sorted((r.doc_id, r.item_id, r.n_words) for r in got) == [(1, 0, 400), (1, 1, 400), (1, 2, 400), (2, 9, 80)]
+    assert time.time() - t < 60
+
+
+def test_columns_with_names_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7, 8), (None, None, 1, 2, 3, 4)], "doc_id long, text string, doc int, `row` int, m int, item int")
+    bench = spark.createDataFrame([(1, "a b c d e", 1, 2)], "item_id long, text string, doc int, m int")
+    kept = S.drop_leaks(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(None, None, 1, 2, 3, 4)]
+    assert S.overlaps(docs, bench).count() == 1
