@@ -59,3 +59,24 @@ def test_the_cache_changes_nothing(spark, monkeypatch):
     assert sorted(map(tuple, B.encode_documents(df).collect())) == want
     monkeypatch.setattr(B, "CACHE_DOCS", 0)
     assert sorted(map(tuple, B.encode_documents(df).collect())) == want
+
+
+def test_long_words(spark, monkeypatch):
+    """Words of many blocks; blocks of few bytes, so that windows grow and the last way out is taken too."""
+    rng = np.random.default_rng(3)
+    letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    texts = ["a" * 1000, "abc" * 333, "ab" * 129 + "a", letters("ab", 500), letters("etaoin", 700), letters("abcdefghijklmnopqrstuvwxyz", 700), "thing" * 60, "-" * 257, letters("=-*/", 300), "é" * 100, " " * 300]
+    texts += [letters("the ñandwigrs", 90).replace(" ", "e") for _ in range(40)]
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=B.read_ranks(B.default_path()), special_tokens={})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for long in (B.LONG, 7, 3):
+        monkeypatch.setattr(B, "LONG", long)
+        for r in B.encode_documents(df, full=True).collect():
+            assert r.ids == enc.encode_ordinary(texts[r.doc_id]), (long, texts[r.doc_id][:20])
+
+
+def test_a_word_of_100000_letters(spark):
+    text = "".join(np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz"), 100_000))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=B.read_ranks(B.default_path()), special_tokens={})
+    (r,) = B.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), full=True).collect()
+    assert r.ids == enc.encode_ordinary(text)
