@@ -10,8 +10,9 @@ first word forgets what came before. The chain is cut into equal blocks; the blo
 multiplied side by side, joined block after block, and then every block is run side by side from its entry.
 This is exact, and a long document costs no more than short ones.
 
-Training takes an excerpt of at most EXCERPT characters from at most PER_LANG documents of each of the
-MAX_LANGS most frequent languages; prediction reads whole texts.
+Training takes an excerpt of at most EXCERPT characters from some PER_LANG documents of each language, whatever the
+number of languages, and from fewer documents of each where there would be more than MAX_EXCERPTS in all (all three
+are parameters); prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-PER_LANG, EXCERPT, MAX_LANGS = 250, 1500, 64
+PER_LANG, EXCERPT, MAX_EXCERPTS = 250, 1500, 16_000
 BITS = 16
 EPOCHS = 30
 #: Bytes of text whose words form one chain: a chain of n words takes about the square root of n steps.
@@ -199,13 +200,17 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT) -> Model:
-    """A model from docs(doc_id, text, lang) that are not held out; null languages and texts are left out."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT, most: int = MAX_EXCERPTS) -> Model:
+    """A model from docs(doc_id, text, lang) that are not held out; null languages and texts are left out.
+
+    Every language with such a document is learned. Documents are picked by hashes of their ids.
+    """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return fit([], [])
+    per_lang = max(1, min(per_lang, most // len(counts)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per_lang / r["count"] + 20 / r["count"])))])
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
     n = F.length("text")
