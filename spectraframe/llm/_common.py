@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that the vectorised passes hold at once, so that their arrays stay in the processor's cache; a longer
 #: single text is one slice.
 SLICE_BYTES = 1 << 18
-#: Ids of a bucket that one task compares by itself.
-SMALL_BUCKET = 2048
+#: Ids of a bucket that one task compares by itself, and members of all their sets.
+SMALL_BUCKET, SMALL_SETS = 1024, 1 << 19
 #: Ids of a larger bucket that go to all of its blocks, about.
 COMMON = 16
 U64 = np.uint64
@@ -278,19 +278,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return low.withColumnRenamed("u", "id").union(roots).groupBy("id").agg(F.min("component_id").alias("component_id"))
 
 
+def _cuts(n, size, most: int):
+    """Blocks for n ids whose sets have `size` members in all, each with half of what one task takes."""
+    return F.ceil(F.greatest(n / max(most // 2, 1), size / (SMALL_SETS // 2))).cast("int")
+
+
 def rest_blocks(sized: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """Sets of about `most` ids, (key, id), that hold each pair which links leave apart in a bucket: sized(key, id, n).
+    """Blocks of ids, (key, id), that hold each pair which links leave apart in a bucket: sized(key, id, size).
 
     The largest component of a bucket needs no comparison within itself; the other ids, the rest, are to be compared
     with all of the bucket. Both are cut into blocks by hash, and each block of the rest meets each other block.
     Buckets in one component give no rows.
     """
-    half = max(most // 2, 1)
     parts = components(links).withColumnRenamed("component_id", "part")
-    cur = materialize(sized.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
-    sizes = cur.groupBy("key", "part").agg(F.count("*").alias("m"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("n")).where("top.m < n")
-    blocks = top.select("key", F.col("top.part").alias("main"), F.ceil((F.col("n") - F.col("top.m")) / half).cast("int").alias("rb"), F.ceil(F.col("top.m") / half).cast("int").alias("mb"))
+    cur = materialize(sized.select("key", "id", "size").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
+    sizes = cur.groupBy("key", "part").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("m", "part", "s")).alias("top"), F.sum("m").alias("n"), F.sum("s").alias("all")).where("top.m < n")
+    rb, mb = _cuts(F.col("n") - F.col("top.m"), F.col("all") - F.col("top.s"), most), _cuts(F.col("top.m"), F.col("top.s"), most)
+    blocks = top.select("key", F.col("top.part").alias("main"), rb.alias("rb"), mb.alias("mb"))
     cur = cur.select("key", "id", "part").join(blocks, "key")
     rest = F.col("part") != F.col("main")
     by_hash = F.xxhash64("id", F.lit(3))
@@ -369,21 +374,22 @@ def minima(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame:
-    """Links (a, b) between ids of rows(key, id) that join, in each bucket, what links of all its pairs would join.
-
-    Ids are linked at a weighted Jaccard similarity of `threshold` or more. Buckets of up to SMALL_BUCKET ids are
-    dealt with where they are: their texts come sorted by bucket, all similarities are worked out as one matrix, and
-    one link for each further id of a component goes out. Larger buckets are cut into blocks by hash, with a few ids
-    that go to all blocks and so join them, and then each pair that is still apart is compared (`rest_blocks`): no
-    task gets an unbounded bucket, and no pair is left out. texts(ids) gives (id, text) of ids(id); prepare(column)
-    gives (sorted hashes, weights) of each text of a string column.
+    """Links (a, b) between ids of rows(key, id, size) that join, in each bucket, what links of all its pairs would join.
+
+    Ids are linked at a weighted Jaccard similarity of `threshold` or more; size: of an id's set. Buckets of up to
+    SMALL_BUCKET ids with up to SMALL_SETS members are dealt with where they are: their texts come sorted by bucket,
+    all similarities are worked out as one matrix, and one link for each further id of a component goes out. Larger
+    buckets are cut into blocks by hash, with a few ids that go to all blocks and so join them, and then each pair
+    that is still apart is compared (`rest_blocks`): no task gets an unbounded bucket, and no pair is left out.
+    texts(ids) gives (id, text) of ids(id); prepare(column) gives (sorted hashes, weights) of each text of a column.
     """
     most = SMALL_BUCKET
-    rows = materialize(rows.distinct(), "rows")
+    rows = materialize(rows.groupBy("key", "id").agg(F.max("size").alias("size")), "rows")
     # Bands that put the same ids together make equal buckets, of which one is enough.
     name = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
-    size = rows.groupBy("key").agg(F.count("*").alias("n"), *name).where("n > 1").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
-    near = materialize(rows.join(size.select("key", "n"), "key"), "near")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"), *name).where("n > 1")
+    buckets = buckets.groupBy("n", "h1", "h2").agg(F.min("key").alias("key"), F.max("all").alias("all"))
+    near = materialize(rows.join(buckets.select("key", "n", "all"), "key"), "near")
     held = materialize(texts(near.select("id").distinct()), "texts")
     edge = threshold - 1e-9  # sums of the matrix are rounded; pairs at the edge are worked out one by one
 
@@ -407,7 +413,7 @@ def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame
             lab = minima(i[ok], j[ok], len(ids))
             return [(ids[m], ids[k]) for k, m in enumerate(lab.tolist()) if m != k]
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 21)):
             found = []
             coded = batch.column("text").dictionary_encode()
             made = prepare(coded.dictionary)
@@ -427,11 +433,12 @@ def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame
         full = sets.join(held, "id").select("key", "id", "text")
         return full.repartition("key").sortWithinPartitions("key", "id").mapInArrow(local, "a long, b long")
 
-    links = linked(near.where(F.col("n") <= most).select("key", "id"))
-    large = near.where(F.col("n") > most)
+    small = (F.col("n") <= most) & ((F.col("all") <= SMALL_SETS) | (F.col("n") == 2))
+    links = linked(near.where(small).select("key", "id"))
+    large = near.where(~small)
     if not large.isEmpty():
-        cut = F.ceil(F.col("n") / max(most // 2, 1)).cast("int")
-        common = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / COMMON)) == 0
+        cut = _cuts(F.col("n"), F.col("all"), most)
+        common = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.ceil(F.col("n") / COMMON), F.ceil(F.col("all") / (SMALL_SETS // 4)))) == 0
         own = F.pmod(F.xxhash64("id", F.lit(2)), cut).cast("int")
         block = F.explode(F.when(common, F.sequence(F.lit(0), cut - 1)).otherwise(F.array(own)))
         links = materialize(links.union(linked(large.select("key", "id", block.alias("x")).select(F.xxhash64("key", "x").alias("key"), "id"))), "links")
@@ -505,7 +512,7 @@ def passes(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def bucket_rows(table: DataFrame, keys: str) -> DataFrame:
-    """(key, id) rows of keys that occur with two ids or more in table(keys array<long>, id long)."""
+    """(key, id, size) rows of keys that occur with two ids or more in table(keys array<long>, id long, size int)."""
     multi = materialize(repeated_keys(table, keys), "keys")
     flags = key_filter(multi)
 
@@ -513,8 +520,8 @@ def bucket_rows(table: DataFrame, keys: str) -> DataFrame:
         for batch in batches:
             lists = batch.column(keys)
             key = lists.flatten().to_numpy(zero_copy_only=False)
-            ids = np.repeat(batch.column("id").to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
             ok = passes(flags, key)
-            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(ids[ok])], names=["key", "id"])
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), *(batch.column(c).take(pa.array(row)) for c in ("id", "size"))], names=["key", "id", "size"])
 
-    return table.select(keys, "id").mapInArrow(run, "key long, id long").join(multi, "key", "left_semi")
+    return table.select(keys, "id", "size").mapInArrow(run, "key long, id long, size int").join(multi, "key", "left_semi")

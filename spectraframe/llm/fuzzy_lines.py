@@ -150,8 +150,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum(sizes[ink])]).astype(np.int32)
             own = pa.array(doc[ink])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(own), batch.column("row_key").take(own), pa.array(number[ink].astype(np.int32)), pa.array(name[ink]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
-                names=["doc_id", "row_key", "line_no", "id", "bands"],
+                [batch.column("doc_id").take(own), batch.column("row_key").take(own), pa.array(number[ink].astype(np.int32)), pa.array(name[ink]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())), pa.array((b - a)[ink].astype(np.int32))],
+                names=["doc_id", "row_key", "line_no", "id", "bands", "size"],
             )
 
 
@@ -184,13 +184,13 @@ def _sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     if not len(ends):
         return []
     h, offsets = lines.shingles(values, ends - [len(t) for t in said], ends)
-    return [(x, np.ones(len(x))) for x in (np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))]
+    return [(x, np.broadcast_to(1.0, len(x))) for x in (np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))]
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, line_nos: numbers from 0 of the lines to remove) of documents that lose lines."""
     keyed = _keyed(docs)
-    schema = "doc_id long, row_key long, line_no int, id long, bands array<long>"
+    schema = "doc_id long, row_key long, line_no int, id long, bands array<long>, size int"
     found = C.materialize(keyed.mapInArrow(_occurrences, schema), "lines")
     rows = C.bucket_rows(found.where(F.size("bands") > 0), "bands")
 
@@ -223,14 +223,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = removed_lines(docs).select("row_key", F.col("doc_id").alias("gone_id"), "line_nos")
     text = F.col("text").cast("string")
-    out = docs.select(*names).withColumn("text", text).withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), text))
-    out = out.join(gone, (out["row_key"] == gone["row_key"]) & out["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left").drop("row_key", "gone_id")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("line_nos", i))
-    n = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(lines))
-    cut = F.when(F.col("line_nos").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumns({"n_lines": n.cast("long"), "n_removed": F.coalesce(F.size("line_nos"), F.lit(0)).cast("long"), "cut": cut})
-    return out.withColumn("text", F.col("cut")).select(*names, "n_lines", "n_removed")
+    # The rows go along as one column, so no name of theirs meets a name here.
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text.alias("said"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_key"))
+    rows = rows.join(gone, (rows["row_key"] == gone["row_key"]) & rows["own_id"].eqNullSafe(gone["gone_id"]), "left").select("row", "said", "line_nos")
+    lines = F.split(F.coalesce("said", F.lit("")), "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "line_nos"), lambda i: F.get(lines, i))
+    n = F.when(F.coalesce(F.length("said"), F.lit(0)) == 0, 0).otherwise(F.size(lines))
+    cut = F.when(F.col("line_nos").isNull(), F.col("said")).otherwise(F.array_join(kept, "\n"))
+    out = rows.select("row", cut.alias("cut"), n.cast("long").alias("n"), F.coalesce(F.size("line_nos"), F.lit(0)).cast("long").alias("m"))
+    return out.select(*(F.col("cut").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names), F.col("n").alias("n_lines"), F.col("m").alias("n_removed"))
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.maximum(np.log((float(n[at < 0].sum()) + 1) / (df + 1)), 0) + 0.1
 
 
-SCHEMA = "doc_id long, same long, bands array<long>"
+SCHEMA = "doc long, doc_id long, same long, bands array<long>, size int"
 
 
 def _names(x: np.ndarray, w: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def _names(x: np.ndarray, w: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sketch(idf: np.ndarray):
-    """doc_id, the name of the weighted set (null: no words) and the keys of the bands."""
+    """doc, doc_id, the name of the weighted set (null: no words), the keys of the bands and the size of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = C.Words()
@@ -138,8 +138,8 @@ def _sketch(idf: np.ndarray):
                 keys = bands(samples(x, w, own)).view(np.int64)
                 where = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(_names(x, w, offsets), mask=~some), pa.ListArray.from_arrays(pa.array(where), pa.array(keys.ravel()))],
-                    names=["doc_id", "same", "bands"],
+                    [batch.column("doc"), batch.column("doc_id"), pa.array(_names(x, w, offsets), mask=~some), pa.ListArray.from_arrays(pa.array(where), pa.array(keys.ravel())), pa.array(np.diff(offsets).astype(np.int32))],
+                    names=["doc", "doc_id", "same", "bands", "size"],
                 )
 
     return run
@@ -170,42 +170,61 @@ def _sets(idf: np.ndarray):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, component_id and kept of docs(doc_id, text): one row per distinct non-null id.
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, doc_id, same) of each row of docs, and (same, part) of its weighted sets: the class that each belongs to.
 
-    component_id is the least doc_id of the class, kept tells whether it is the document's own. Null ids have no
-    class and are left out; of repeated ids with different texts each joins classes and the id has the least of
-    them; null, empty and word-less texts are alone; other columns are ignored; an empty table gives
-    an empty result.
+    doc is a hash of id and text that tells rows apart; same is null for a text without words.
     """
-    plain = _plain(docs).where("doc_id is not null")
+    plain = _plain(docs).withColumn("doc", F.xxhash64("doc_id", "text"))
     idf = inverse_frequencies(plain)
     made = C.materialize(plain.mapInArrow(_sketch(idf), SCHEMA), "sketches")
     # From here on a set stands for all documents that have it.
-    heads = made.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("doc_id"))
+    heads = made.where("same is not null").groupBy("same").agg(F.min("doc").alias("doc"))
 
     def texts(ids: DataFrame) -> DataFrame:
         ids = C.materialize(ids.toDF("same"), "ids")
-        own = heads.join(ids, "same", "left_semi").select("doc_id")
-        out = plain.join(own, "doc_id", "left_semi").mapInArrow(_named(idf), "same long, text string")
+        own = heads.join(ids, "same", "left_semi").select("doc")
+        out = plain.join(own, "doc", "left_semi").mapInArrow(_named(idf), "same long, text string")
         return out.join(ids, "same", "left_semi").groupBy("same").agg(F.min("text").alias("text")).toDF("id", "text")
 
-    rows = C.bucket_rows(made.where("same is not null").select("bands", F.col("same").alias("id")), "bands")
-    links = C.bucket_links(rows, texts, _sets(idf), threshold)
-    links = C.materialize(links, "links")
-    parts = C.components(links).withColumnRenamed("id", "same")
-    sets = heads.join(parts, "same", "left").withColumn("component_id", F.coalesce("component_id", "same"))
-    least = sets.groupBy("component_id").agg(F.min("doc_id").alias("c"))
-    of_set = C.materialize(sets.join(least, "component_id").select("same", "c"), "classes")
+    rows = C.bucket_rows(made.where("same is not null").select("bands", F.col("same").alias("id"), "size"), "bands")
+    links = C.materialize(C.bucket_links(rows, texts, _sets(idf), threshold), "links")
+    parts = C.components(links).toDF("same", "part")
+    sets = heads.select("same").join(parts, "same", "left").withColumn("part", F.coalesce("part", "same"))
+    return made.select("doc", "doc_id", "same"), C.materialize(sets, "classes")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, component_id and kept of docs(doc_id, text): one row per distinct non-null id.
+
+    component_id is the least doc_id of the class, kept tells whether it is the document's own. Null ids have no
+    class and are left out; of repeated ids with different texts each joins classes and the id has the least of
+    them; null, empty and word-less texts are alone; other columns are ignored; an empty table gives
+    an empty result.
+    """
+    made, sets = _classes(docs.where("doc_id is not null"), threshold)
+    least = made.join(sets, "same").groupBy("part").agg(F.min("doc_id").alias("c"))
+    of_set = C.materialize(sets.join(least, "part").select("same", "c"), "least")
     out = made.select("doc_id", "same").join(of_set, "same", "left").groupBy("doc_id")
     out = out.agg(F.min(F.coalesce("c", "doc_id")).alias("component_id"))
     return out.select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with their columns, whose id is the least of its class; rows with a null id stay."""
-    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    """docs, with their columns, with one row of each class: the one with the least id (nulls last), of equals one.
+
+    Texts without words are alone, and all stay. Repeated rows are of one class, so one stays.
+    """
+    made, sets = _classes(docs, threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc")
+    classed = made.join(sets, "same").select("doc", "part", order.alias("o"))
+    first = classed.groupBy("part").agg(F.min("o").alias("first"))
+    gone = C.materialize(classed.join(first, "part").where(F.col("o.doc") != F.col("first.doc")).select("doc").distinct(), "gone")
+    again = C.materialize(made.where("same is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "again")
+    row = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("doc"))
+    row = row.join(gone, "doc", "left_anti")
+    one = row.join(again, "doc", "left_semi").dropDuplicates(["doc"])
+    return row.join(again, "doc", "left_anti").unionByName(one).select("row.*")
 
 
 def op5_icws_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
