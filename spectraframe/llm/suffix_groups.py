@@ -325,9 +325,9 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of docs(doc_id, text): one row per input row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and has_repeats of docs(doc_id, text): one row per input row.
 
-    With spans also the removed ranges, begins and ends in turn. Null and empty texts have no bytes; matches stay
+    has_repeats tells whether anything is removed. With spans also the removed ranges, begins and ends in turn. Null and empty texts have no bytes; matches stay
     within a document; repeated rows are occurrences of their own, and so go as a whole if they are long enough;
     null ids are kept; other columns are ignored; an empty table gives an empty result.
     """
@@ -336,6 +336,7 @@ def remove_repeats(docs: DataFrame, spans: bool = False) -> DataFrame:
     ranges = repeated_ranges(keyed).groupBy("row_key").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     out = keyed.join(ranges, "row_key", "left").select("doc_id", "text", "ranges")
     out = out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    out = out.withColumn("has_repeats", F.col("n_removed") > 0)
     return out if spans else out.drop("spans")
 
 
