@@ -413,7 +413,7 @@ def bucket_links(rows: DataFrame, texts, prepare, threshold: float) -> DataFrame
             lab = minima(i[ok], j[ok], len(ids))
             return [(ids[m], ids[k]) for k, m in enumerate(lab.tolist()) if m != k]
 
-        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 21)):
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 22)):
             found = []
             coded = batch.column("text").dictionary_encode()
             made = prepare(coded.dictionary)

@@ -227,7 +227,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text.alias("said"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_key"))
     rows = rows.join(gone, (rows["row_key"] == gone["row_key"]) & rows["own_id"].eqNullSafe(gone["gone_id"]), "left").select("row", "said", "line_nos")
     lines = F.split(F.coalesce("said", F.lit("")), "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "line_nos"), lambda i: F.get(lines, i))
+    # Few lines are looked up one by one; many go by a set difference, which is linear.
+    few = F.filter(lines, lambda x, i: ~F.array_contains("line_nos", i))
+    many = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "line_nos"), lambda i: F.get(lines, i))
+    kept = F.when(F.size("line_nos") <= 64, few).otherwise(many)
     n = F.when(F.coalesce(F.length("said"), F.lit(0)) == 0, 0).otherwise(F.size(lines))
     cut = F.when(F.col("line_nos").isNull(), F.col("said")).otherwise(F.array_join(kept, "\n"))
     out = rows.select("row", cut.alias("cut"), n.cast("long").alias("n"), F.coalesce(F.size("line_nos"), F.lit(0)).cast("long").alias("m"))
