@@ -12,16 +12,19 @@ import numpy as np
 
 from .. import schema as S
 from ..functions import arrays as A
+from ..functions import elements as E
 from ..sources import runfile as R
 
 # Tags and attribute accessions of the rows that are written, and axes that are stored as differences.
-TAG_SPECTRUM, TAG_CHROMATOGRAM, TAG_SPECTRUM_LIST, TAG_CHROMATOGRAM_LIST, TAG_CV_PARAM = 14, 24, 43, 51, 52
-ATTR_ID, ATTR_INDEX = 9_910_001, 9_910_102
+TAG_SPECTRUM, TAG_CHROMATOGRAM, TAG_SPECTRUM_LIST, TAG_CHROMATOGRAM_LIST = 14, 24, 43, 51
+ATTR_COUNT = 9_910_100
 DELTA_AXES = frozenset([S.MZ, S.TIME, 1003007, 1002816, 1003008, 1003153])
 
 
 class Writer:
-    """Writes spectra, then chromatograms, then finishes. Items are dicts: id, params, arrays and summary values.
+    """Writes spectra, then chromatograms, then finishes. Items are dicts: id, params, arrays and summary values, and
+    `element`, all that the item holds beside binary data (JSON; params are left aside then). head: values of the run's
+    own elements by tag, in the current form, set at any time.
 
     m/z that falls, finite rt that falls, windows beyond the bound, and a spectrum after a chromatogram raise.
     """
@@ -41,6 +44,7 @@ class Writer:
         self.entries = {"spectra": defaultdict(list), "chromatograms": defaultdict(list)}
         self.kinds = {"spectra": set(), "chromatograms": set()}
         self.meta = {"spectra": [], "chromatograms": []}
+        self.head: dict[str, dict] = {}
 
     # blocks
 
@@ -156,7 +160,7 @@ class Writer:
         dtype = R.A1 if spectrum else R.B1
         whole = {"ms_level", "polarity", "rt_unit", "position_x", "position_y", "position_z"}
         self.items[self.name].append(tuple(item.get(n, 0 if n in whole else math.nan) for n in dtype.names))
-        self.meta[self.name].append((item.get("id") or "", item.get("params") or ()))
+        self.meta[self.name].append(_value("spectrum" if spectrum else "chromatogram", item, number))
 
     # sections
 
@@ -168,12 +172,12 @@ class Writer:
         self._align()
 
     def _metadata(self, name: str, kind: str) -> None:
-        tag, listed = (TAG_SPECTRUM, TAG_SPECTRUM_LIST) if kind == "spectra" else (TAG_CHROMATOGRAM, TAG_CHROMATOGRAM_LIST)
+        tag, listed = ("spectrum", TAG_SPECTRUM_LIST) if kind == "spectra" else ("chromatogram", TAG_CHROMATOGRAM_LIST)
         items, groups, stored = self.meta[kind], [], []
         used = plain = 0
         total = [0, 0, 0]
         for lo in range(0, len(items), S.GROUP_ITEMS):
-            body, counts = metadata_group(items[lo : lo + S.GROUP_ITEMS], tag, listed, lo)
+            body, counts = metadata_group([E.rows(tag, x) for x in items[lo : lo + S.GROUP_ITEMS]], listed)
             total = [a + b for a, b in zip(total, counts)]
             raw = self._pack(body)
             groups.append((used, len(raw), len(body), zlib.crc32(raw), 0))
@@ -198,6 +202,18 @@ class Writer:
         self.header.counts[f"{name}_plain"] = len(raw)
         self._section(name, raw)
 
+    def _head_items(self) -> tuple[list[list[E.Row]], list[int]]:
+        """Rows of the run's own items, and how many there are of each kind."""
+        each, sizes, first = [], [], 1
+        for tag in R.GLOBAL:
+            holder = self.head.get(R.HOLDERS[tag], {})
+            values = [holder] if R.HOLDERS[tag] == tag and holder else holder.get(tag, ())
+            for value in values:
+                each.append(E.rows(tag, value, 0, first))
+                first = max(r[0] for r in each[-1]) + 1
+            sizes.append(len(values))
+        return each, sizes
+
     def finish(self) -> None:
         """Writes tables, metadata, window directories and the trailer, and the header last; without it the file is invalid."""
         self._seal()
@@ -214,7 +230,9 @@ class Writer:
                 self._section(f"{prefix}{i}", table.tobytes())
         self._metadata("C", "spectra")
         self._metadata("D", "chromatograms")
-        body = b"\0" * 32 + b"\0" * 4  # no global rows
+        each, sizes = self._head_items()
+        columns, (c["E_rows"], c["E_numbers"], c["E_texts"]) = metadata_group(each)
+        body = np.array(sizes, "<u2").tobytes().ljust(32, b"\0") + columns[12:]
         c["E_plain"] = len(body)
         self._section("E", body)
         self._windows("A0", "spectra")
@@ -225,11 +243,20 @@ class Writer:
         self.out.write(self.header.pack())
 
 
-def metadata_group(items: list[tuple], tag: int, listed: int, base: int) -> tuple[bytes, list[int]]:
-    """The columns of a group: for each item its number, id and parameters; the first item also has the list's node."""
+def _value(tag: str, item: dict, number: int) -> dict:
+    """The nested value of an item: its element, or its id and parameters."""
+    value = E.loaded(tag, item.get("element"))
+    if not value:
+        pairs = (("cv_ref", "cvRef"), ("accession", "accession"), ("name", "name"), ("value", "value"), ("unit_cv_ref", "unitCvRef"), ("unit_accession", "unitAccession"), ("unit_name", "unitName"))
+        value = {"cvParam": [{"_" + b: p.get(a) for a, b in pairs if p.get(a) is not None} for p in item.get("params") or ()]}
+    return {"_index": str(number), "_id": item.get("id") or value.get("_id") or ""} | {k: v for k, v in value.items() if k not in ("_index", "_id")}
+
+
+def metadata_group(items: list[list[E.Row]], listed: int | None = None) -> tuple[bytes, list[int]]:
+    """The columns of a group of items' rows; with the tag of a list the first item also has the list's own node, 1."""
     index, rows, numbers, texts = [0], [], [], []
 
-    def value(text: str | None, attribute: bool = False) -> int:
+    def kind(text: str | None, attribute: bool) -> int:
         if text is None or text == "":
             return S.VALUE_EMPTY
         if not attribute and is_number(text):
@@ -238,16 +265,10 @@ def metadata_group(items: list[tuple], tag: int, listed: int, base: int) -> tupl
         texts.append(text.encode())
         return S.VALUE_TEXT
 
-    for i, (name, params) in enumerate(items):
-        if not i:
-            rows.append((1, 0, listed, 4, 9_910_100, 255, 0, value(str(len(items)), True)))
-        rows.append((2, 1, tag, 4, ATTR_INDEX, 255, 0, value(str(base + i), True)))
-        rows.append((2, 1, tag, 4, ATTR_ID, 255, 0, value(name, True)))
-        for node, p in enumerate(params, 3):
-            cv, _, tail = (p.get("accession") or "").rpartition(":")
-            unit_cv, _, unit = (p.get("unit_accession") or "").rpartition(":")
-            digits = lambda t: int("".join(c for c in t if c.isdigit()) or 0)
-            rows.append((node, 2, TAG_CV_PARAM, S.CV_CODES.get(cv, 255), digits(tail), S.CV_CODES.get(unit_cv, 255), digits(unit), value(p.get("value"))))
+    for i, own in enumerate(items):
+        if not i and listed is not None:
+            own = [(1, 0, listed, S.CV_CODES["ATTR"], ATTR_COUNT, S.CV_UNKNOWN, 0, str(len(items))), *own]
+        rows += [(*r[:7], kind(r[7], r[3] == S.CV_CODES["ATTR"])) for r in own]
         index.append(len(rows))
     cols = list(zip(*rows)) if rows else [[]] * 8
     kinds = ("<u4", "<u4", "u1", "u1", "<u4", "u1", "<u4", "u1")
@@ -270,42 +291,91 @@ def is_number(text: str) -> bool:
     return plain == text
 
 
-def write(path: str, spectra: Iterable[dict], chromatograms: Iterable[dict] = (), **options) -> None:
+def write(path: str, spectra: Iterable[dict], chromatograms: Iterable[dict] = (), head: dict[str, dict] | None = None, **options) -> None:
     """A whole run to a file; an unfinished file never gets the name."""
+    import itertools
+
+    write_rows(path, itertools.chain(({"kind": 1} | s for s in spectra), ({"kind": 2} | c for c in chromatograms)), head, **options)
+
+
+def write_rows(path: str, rows: Iterable[dict], head: dict[str, dict] | None = None, **options) -> int:
+    """Sorted rows of one run (kind 0: tag and element of its head, 1: spectra, 2: chromatograms) to a file; how many."""
     import os
 
-    temporary = f"{path}.{os.getpid()}.tmp"
+    n, temporary = 0, f"{path}.{os.getpid()}.tmp"
     try:
         with open(temporary, "wb") as f:
             w = Writer(f, **options)
-            for s in spectra:
-                w.spectrum(s)
-            for c in chromatograms:
-                w.chromatogram(c)
+            w.head.update(head or {})
+            for n, row in enumerate(rows, 1):  # noqa: B007
+                add(w, row)
             w.finish()
         os.replace(temporary, path)
     finally:
         if os.path.exists(temporary):
             os.remove(temporary)
+    return n
+
 
+def add(w: Writer, row: dict) -> None:
+    kind, item = row.get("kind", 1), {k: v for k, v in row.items() if v is not None}
+    if kind == 0:
+        tag = E.ELEMENTS_NOW.get(item["tag"], item["tag"])
+        w.head.setdefault(tag, E.loaded(tag, item.get("element")))
+    elif kind == 1:
+        w.spectrum(item)
+    else:
+        w.chromatogram(item)
 
-def files(spectra, by: str = "source_path", **options):
-    """(run, content) of runs in spectra(by, spectrum_index, id, params, arrays, summary columns): one task for each run."""
+
+def rows(spectra, chromatograms=None, heads=None, by: str = "source_path"):
+    """Rows that become files, a partition for each run and in its order: (by, kind, at, tag, element, id, params, arrays,
+    summary columns). heads: as `sources.mzml.heads` gives them."""
+    from pyspark.sql import functions as F
+
+    names = dict.fromkeys((*R.A1.names, *R.B1.names, "id", "element", "params", "arrays"))
+
+    def one(df, kind: int, at):
+        return df.select(F.col(by), F.lit(kind).alias("kind"), at.cast("long").alias("at"), *(F.col(c) for c in ("tag", *names) if c in df.columns))
+
+    out = one(spectra, 1, F.col("spectrum_index"))
+    if chromatograms is not None:
+        slim = lambda df: df.withColumn("arrays", F.transform("arrays", lambda a: F.struct(a["accession"], a["dtype"], a["values"])))
+        out = one(slim(spectra), 1, F.col("spectrum_index")).unionByName(one(slim(chromatograms), 2, F.col("chromatogram_index")), allowMissingColumns=True)
+    if heads is not None:
+        out = out.unionByName(one(heads, 0, F.lit(0)), allowMissingColumns=True)
+    return out.repartition(by).sortWithinPartitions(by, "kind", "at")
+
+
+def files(spectra, by: str = "source_path", chromatograms=None, heads=None, **options):
+    """(run, content) of runs: one task for each run, whose rows come sorted and go one by one into its buffer."""
     import io
 
     import pyarrow as pa
 
-    names = [c for c in (*R.A1.names, "id", "params", "arrays", "spectrum_index") if c in spectra.columns]
+    def run(batches):
+        def each():
+            for batch in batches:
+                for r in range(0, batch.num_rows, 64):
+                    yield from batch.slice(r, 64).to_pylist()
 
-    def run(key, table):
-        buffer = io.BytesIO()
-        w = Writer(buffer, **options)
-        for row in sorted(table.select(names).to_pylist(), key=lambda r: r["spectrum_index"]):
-            w.spectrum({k: v for k, v in row.items() if v is not None})
-        w.finish()
-        return pa.table({"run": [key[0].as_py()], "content": pa.array([buffer.getvalue()], pa.binary())})
+        name, w, buffer = None, None, None
 
-    return spectra.select(by, *names).groupBy(by).applyInArrow(run, "run string, content binary")
+        def done():
+            w.finish()
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([buffer.getvalue()], pa.binary())], names=["run", "content"])
+
+        for row in each():
+            if w is None or str(row[by]) != name:
+                if w is not None:
+                    yield done()
+                name, buffer = str(row[by]), io.BytesIO()
+                w = Writer(buffer, **options)
+            add(w, row)
+        if w is not None:
+            yield done()
+
+    return rows(spectra, chromatograms, heads, by).mapInArrow(run, "run string, content binary")
 
 
 def set_version(path: str, version: int = 1) -> bool:

@@ -1,19 +1,21 @@
 """mzML as DataFrames, through Spark's XML reader with one explicit schema for all versions of the format.
 
-Files are split at `spectrum` and `chromatogram` elements, so a large file is read by many tasks. Legacy names of
-elements and attributes are columns of the schema and are joined with the current ones; unknown elements are left
-out by the reader.
+Files are split at the ends of `spectrum` and `chromatogram` elements, so a large file is read by many tasks. Legacy
+names of elements and attributes are columns of the schema and are joined with the current ones; unknown elements are
+left out by the reader.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +23,7 @@ from .. import schema as S
 from ..functions import scalar as fn
 
 # Accessions of element types, compressions and their element codes.
-TYPES = {"MS:1000520": 3, "MS:1000521": 2, "MS:1000523": 1, "MS:1000519": 5, "MS:1000522": 6, "MS:1001479": 0}
+TYPES = {"MS:1000520": 3, "MS:1000521": 2, "MS:1000523": 1, "MS:1000518": 4, "MS:1000519": 5, "MS:1000522": 6}
 ZLIB = "MS:1000574"
 NUMPY = {1: "<f8", 2: "<f4", 3: "<f2", 4: "<i2", 5: "<i4", 6: "<i8"}
 
@@ -87,24 +89,141 @@ HEAD = {
 }
 
 
-def rows(spark: SparkSession, path: str, tag: str, schema: T.StructType, charset: str = "ISO-8859-1") -> DataFrame:
-    """Elements of a tag, with the file they come from."""
-    reader = spark.read.format("xml").option("rowTag", tag).option("charset", charset).option("mode", "PERMISSIVE").schema(schema)
-    return reader.load(path).withColumn("source_path", F.input_file_name())
-
-
-def head(spark: SparkSession, path: str, element: str, charset: str = "ISO-8859-1") -> DataFrame:
+def declared_charset(spark: SparkSession, path: str) -> str:
+    """The encoding that the first document of a path declares, by its first bytes; UTF-8 if it says nothing."""
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(str(x.getPath()) for x in (fs.globStatus(hadoop) or ()))
+    while found and fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(found[0])).isDirectory():
+        inside = [x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(found[0]))]
+        found = sorted(str(x) for x in inside if not x.getName().startswith((".", "_")))
+    if not found:
+        return "UTF-8"
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(found[0]))
+    try:
+        head = bytes(b & 0xFF for b in (stream.read() for _ in range(120)) if b >= 0)
+    finally:
+        stream.close()
+    said = re.search(rb"""encoding\s*=\s*["']([\w.-]+)""", head)
+    return said[1].decode() if said else "UTF-8"
+
+
+def _charset(spark: SparkSession, path: str, charset: str | None) -> str:
+    return charset or declared_charset(spark, path)
+
+
+def rows(spark: SparkSession, path: str, tag: str, schema: T.StructType, charset: str | None = None) -> DataFrame:
+    """Elements of a tag, with the file they come from. charset: as declared by the path's first document, unless given.
+
+    The elements that a file has many of are cut out of its text, which Spark splits, and parsed one by one; an element
+    that is not well-formed, as where a file breaks off, raises. Others go through Spark's reader, which takes a file
+    to a task and parses what is within the tag only.
+    """
+    charset = _charset(spark, path, charset)
+    if tag not in ("spectrum", "chromatogram"):
+        reader = spark.read.format("xml").option("rowTag", tag).option("charset", charset).option("mode", "PERMISSIVE").schema(schema)
+        return reader.load(path).withColumn("source_path", F.input_file_name())
+    text = spark.read.option("lineSep", f"</{tag}>").option("encoding", charset).text(path)
+    # An element may be closed in its own start tag, so several can stand before one end tag.
+    text = text.select(F.input_file_name().alias("source_path"), F.explode(F.split("value", rf"(?=<{tag}[\s>/])")).alias("text")).where(F.col("text").rlike(rf"^<{tag}[\s>/]"))
+    alone = F.regexp_extract("text", rf"^<{tag}\b[^>]*/>", 0)
+    whole = F.when(alone != "", alone).otherwise(F.concat("text", F.lit(f"</{tag}>")))
+    parsed = F.from_xml(whole, schema, {"mode": "FAILFAST"})
+    return text.select(parsed.alias("x"), "source_path").select("x.*", "source_path")
+
+
+def truncated(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """(source_path) of documents without their end tag."""
+    cut = pieces(spark, path, charset)
+    return cut.groupBy("source_path").agg(F.bool_or(F.col("text").endswith("</mzML")).alias("whole")).where("not whole").select("source_path")
+
+
+def head(spark: SparkSession, path: str, element: str, charset: str | None = None) -> DataFrame:
     """An element of the documents' heads (a key of HEAD), as nested rows."""
     return rows(spark, path, element, HEAD[element], charset)
 
 
-def index(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
+def pieces(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """(source_path, at, text): the documents cut behind each `>`, in order. Files are split, whatever their lines."""
+    reader = spark.read.option("lineSep", ">").option("encoding", _charset(spark, path, charset))
+    return reader.text(path).select(F.input_file_name().alias("source_path"), F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"))
+
+
+def run_heads(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """(source_path, tag, element): the documents' `run` without its lists, and attributes of `mzML` and of the lists, as JSON."""
+    cut = pieces(spark, path, charset)
+    opens = cut.where(F.col("text").rlike(r"<(run|mzML|spectrumList|chromatogramList)( |$|/)")).withColumn("tag", F.regexp_extract("text", r"<(run|mzML|spectrumList|chromatogramList)", 1))
+    # From the run's own tag to the first of its lists, or its end: a few pieces of each document.
+    first = F.min(F.when(F.col("tag") == "run", F.col("at")))
+    last = F.coalesce(F.min(F.when(F.col("tag").isin("spectrumList", "chromatogramList"), F.col("at"))), F.lit(1 << 62))
+    bounds = opens.groupBy("source_path").agg(first.alias("lo"), last.alias("hi")).where("lo is not null")
+    stops = cut.where(F.col("text") == "</run").groupBy("source_path").agg(F.min("at").alias("stop"))
+    bounds = bounds.join(stops, "source_path", "left").select("source_path", "lo", F.least("hi", F.coalesce("stop", "hi")).alias("hi"))
+    inside = cut.join(bounds, "source_path").where("at >= lo and at < hi").select("source_path", F.lit("run").alias("tag"), "at", "text")
+    alone = opens.where("tag <> 'run'").select("source_path", "tag", "at", "text")
+    told = inside.unionByName(alone).groupBy("source_path", "tag").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xml.etree import ElementTree
+
+        def value(x) -> dict:
+            out: dict = {"_" + k: v for k, v in x.attrib.items() if "}" not in k}
+            for child in x:
+                out.setdefault(child.tag, []).append(value(child))
+            return out
+
+        for batch in batches:
+            out = []
+            for tag, parts in zip(batch.column("tag").to_pylist(), batch.column("p").to_pylist()):
+                text = ">".join(p["text"] for p in (parts if tag == "run" else parts[:1])) + ">"
+                text = re.sub(r"\sxmlns(:\w+)?=\"[^\"]*\"|\s\w+:\w+=\"[^\"]*\"", "", text[text.index("<" + tag) :])
+                closed = text.endswith("/>") and text.count("<") == 1
+                out.append(json.dumps(value(ElementTree.fromstring(text if closed else f"{text}</{tag}>"))))
+            yield pa.RecordBatch.from_arrays([batch.column("source_path"), batch.column("tag"), pa.array(out, pa.string())], names=["source_path", "tag", "element"])
+
+    return told.mapInArrow(parse, "source_path string, tag string, element string")
+
+
+def heads(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """(source_path, tag, element): all that documents hold beside spectra and chromatograms, as JSON of nested values."""
+    charset = _charset(spark, path, charset)
+    out = run_heads(spark, path, charset)
+    for tag in HEAD:
+        one = head(spark, path, tag, charset)
+        names = [c for c in one.columns if c != "source_path"]
+        out = out.unionByName(one.select("source_path", F.lit(tag).alias("tag"), F.to_json(F.struct(*names)).alias("element")))
+    return out
+
+
+def targets(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """(source_path, settings, target_no, mz, lo, hi) of the scan settings' targets: their m/z, with the offsets that are stated."""
+    out = None
+    for tag, one in (("scanSettingsList", "scanSettings"), ("acquisitionSettingsList", "acquisitionSettings")):
+        x = head(spark, path, tag, charset).select("source_path", F.explode(one).alias("s"))
+        x = x.select("source_path", F.col("s._id").alias("settings"), F.posexplode("s.targetList.target").alias("target_no", "t"))
+        out = x if out is None else out.unionByName(x)
+    number = lambda *names: F.get(F.filter(F.col("t.cvParam"), lambda p: p["_accession"].isin(*names)), F.lit(0))["_value"].try_cast("double")
+    mz = number("MS:1000744", "MS:1000040", "MS:1000827")
+    lower, upper = F.coalesce(number("MS:1000828"), F.lit(0.0)), F.coalesce(number("MS:1000829"), F.lit(0.0))
+    return out.select("source_path", "settings", "target_no", mz.alias("mz"), (mz - lower).alias("lo"), (mz + upper).alias("hi"))
+
+
+def index(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
     """(source_path, index_name, id_ref, offset) of the files' index lists; offsets that are no numbers are 0; none without a list."""
     schema = _struct("name", offset=_many(T.StructType([T.StructField(n, T.StringType()) for n in ("_VALUE", "_idRef", "_nativeID", "_spotID")])))
     out = rows(spark, path, "index", schema, charset).select("source_path", F.col("_name").alias("index_name"), F.explode("offset").alias("o"))
     return out.select("source_path", "index_name", F.col("o._idRef").alias("id_ref"), F.coalesce(F.trim("o._VALUE").try_cast("long"), F.lit(0)).alias("offset"))
 
 
+def index_tail(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """(source_path, index_list_offset, file_checksum) of the documents that state them; null where one is missing."""
+    cut = pieces(spark, path, charset)
+    said = lambda tag: F.max(F.when(F.col("text").endswith(f"</{tag}"), F.trim(F.regexp_replace("text", f"</{tag}$", ""))))
+    ends = cut.where(F.col("text").endswith("</indexListOffset") | F.col("text").endswith("</fileChecksum"))
+    return ends.groupBy("source_path").agg(said("indexListOffset").try_cast("long").alias("index_list_offset"), said("fileChecksum").alias("file_checksum"))
+
+
 def _params(x: str) -> Column:
     """Parameters of an element as array<struct> with the current names; null vocabulary attributes take the legacy ones."""
 
@@ -118,15 +237,12 @@ def _params(x: str) -> Column:
 
 def element_type(accessions: list[str]) -> int:
     """Element type of an array by its parameters; the lone narrow ones first, double precision without any."""
-    codes = [TYPES[a] for a in accessions if a in TYPES]
-    if len(codes) == 1:
-        return codes[0] or 1
-    floats = {1, 2} & set(codes)
-    if 5 in codes and 6 not in codes and not floats:
-        return 5
-    if 6 in codes and not floats:
-        return 6
-    return 1 if 1 in codes or not codes else 2 if 2 in codes else 6
+    codes = {TYPES[a] for a in accessions if a in TYPES}
+    # A type counts if none of these others is stated as well; the rest goes by the order of the list.
+    for code, unless in ((3, {1, 2}), (4, {5, 6}), (5, {6}), (6, {1, 2}), (1, set()), (2, set()), (6, set())):
+        if code in codes and not codes & unless:
+            return code
+    return 1
 
 
 def decode(text: str | None, accessions: list[str], length: int | None = None) -> np.ndarray:
@@ -177,14 +293,35 @@ def _located(p: Column, level: str) -> Column:
     return F.transform(p, lambda x: x.withField("level", F.lit(level)))
 
 
-def spectra(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
-    """One row for each spectrum, in the files' order: identity, summary, parameters, lists and typed arrays.
+def _numbered(x: DataFrame, out: str) -> DataFrame:
+    """x with the elements' own index, or else their place in their file, from 0.
 
-    spectrum_index is the element's own index, else its place in its file.
+    Only a slim copy is counted: a row for each partition and file holds the first number, so no arrays are moved.
     """
-    from pyspark.sql import Window
+    x = x.withColumns({"seq": F.monotonically_increasing_id(), "own_index": F.col("_index").try_cast("long")})
+    slim = x.select("source_path", F.shiftright("seq", 33).alias("part"), "seq")
+    stats = slim.groupBy("source_path", "part").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("source_path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = stats.select("source_path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "first")
+    x = x.withColumn("part", F.shiftright("seq", 33)).join(F.broadcast(base), ["source_path", "part"])  # a row for each split of a file
+    return x.withColumn(out, F.coalesce("own_index", F.col("base") + F.col("seq") - F.col("first"))).drop("seq", "own_index", "part", "base", "first")
+
 
-    x = rows(spark, path, "spectrum", SPECTRUM, charset).withColumn("seq", F.monotonically_increasing_id())
+def _element(x: DataFrame, schema: T.StructType) -> Column:
+    """The element itself as JSON, without its binary data."""
+    light = lambda a: F.transform(a, lambda y: y.dropFields("binary"))
+    whole = F.when(F.col("binaryDataArrayList").isNotNull(), F.col("binaryDataArrayList").withField("binaryDataArray", light(F.col("binaryDataArrayList.binaryDataArray"))))
+    special = {"binaryDataArrayList": whole, "binaryDataArray": light(F.col("binaryDataArray"))}
+    return F.to_json(F.struct(*(special.get(n, F.col(n)).alias(n) for n in schema.names)))
+
+
+def spectra(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
+    """One row for each spectrum, in the files' order: identity, summary, parameters, lists, typed arrays, and the
+    element itself as JSON (`element`: all that it holds but binary data).
+
+    spectrum_index is the element's own index, else its place in its file.
+    """
+    x = _numbered(rows(spark, path, "spectrum", SPECTRUM, charset), "spectrum_index")
     d = lambda name: F.coalesce(F.col(name), F.col(f"spectrumDescription.{name}"))
     own = _params("cvParam")
     described = F.filter(_params("spectrumDescription.cvParam"), lambda p: ~F.exists(own, lambda q: q["accession"] == p["accession"]))
@@ -197,18 +334,15 @@ def spectra(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> Data
     precursors = F.coalesce(d("precursorList")["precursor"], d("precursor"), F.array())
     ions = F.flatten(F.transform(precursors, lambda p: F.coalesce(p["selectedIonList"]["selectedIon"], p["ionSelection"], F.array())))
     out = x.select(
-        "source_path", "seq", F.col("_index").try_cast("long").alias("own_index"), F.coalesce("_id", F.lit("")).alias("id"), F.col("_nativeID").alias("native_id"),
+        "source_path", "spectrum_index", F.coalesce("_id", F.lit("")).alias("id"), F.col("_nativeID").alias("native_id"),
         F.col("_scanNumber").try_cast("int").alias("scan_number"), F.col("_spotID").alias("spot_id"), "_defaultArrayLength", F.col("_dataProcessingRef").alias("data_processing_ref"),
         params.alias("params"), described.alias("described_params"), F.coalesce("userParam", F.array()).alias("user_params"),
         F.transform(F.coalesce("referenceableParamGroupRef", "paramGroupRef", F.array()), lambda r: F.coalesce(r["_ref"], r["_idref"])).alias("param_group_refs"),
         F.flatten(F.transform(scans_, lambda s: _params(s["cvParam"]))).alias("scan_params"),
         _params(scan_list["cvParam"]).alias("scan_list_params"), F.flatten(F.transform(ions, lambda i: _params(i["cvParam"]))).alias("ion_params"),
-        F.transform(precursors, lambda p: p["_spectrumRef"]).alias("precursor_refs"), "binaryDataArrayList", "binaryDataArray",
+        F.transform(precursors, lambda p: p["_spectrumRef"]).alias("precursor_refs"), _element(x, SPECTRUM).alias("element"), "binaryDataArrayList", "binaryDataArray",
     )
-    out = _with_arrays(out)
-    w = Window.partitionBy("source_path").orderBy("seq")
-    out = out.withColumn("spectrum_index", F.coalesce("own_index", F.row_number().over(w) - 1))
-    return _summarised(out).drop("seq", "own_index").withColumnRenamed("_defaultArrayLength", "default_array_length")
+    return _summarised(_with_arrays(out)).withColumnRenamed("_defaultArrayLength", "default_array_length")
 
 
 def _summarised(x: DataFrame) -> DataFrame:
@@ -235,19 +369,16 @@ def _summarised(x: DataFrame) -> DataFrame:
     )
 
 
-def chromatograms(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
+def chromatograms(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
     """One row for each chromatogram: identity, parameters, at most one precursor and product, and typed arrays."""
-    from pyspark.sql import Window
-
-    x = rows(spark, path, "chromatogram", CHROMATOGRAM, charset).withColumn("seq", F.monotonically_increasing_id())
+    x = _numbered(rows(spark, path, "chromatogram", CHROMATOGRAM, charset), "chromatogram_index")
     isolation = lambda c: _params(F.get(F.col(c), F.lit(0))["isolationWindow"]["cvParam"])
     out = x.select(
-        "source_path", "seq", F.col("_index").try_cast("long").alias("own_index"), F.coalesce("_id", F.lit("")).alias("id"), F.col("_nativeID").alias("native_id"), "_defaultArrayLength",
-        _params("cvParam").alias("params"), F.coalesce("userParam", F.array()).alias("user_params"), isolation("precursor").alias("precursor_window"), isolation("product").alias("product_window"), "binaryDataArrayList", "binaryDataArray",
+        "source_path", "chromatogram_index", F.coalesce("_id", F.lit("")).alias("id"), F.col("_nativeID").alias("native_id"), "_defaultArrayLength",
+        _params("cvParam").alias("params"), F.coalesce("userParam", F.array()).alias("user_params"), isolation("precursor").alias("precursor_window"), isolation("product").alias("product_window"),
+        _element(x, CHROMATOGRAM).alias("element"), "binaryDataArrayList", "binaryDataArray",
     )
-    w = Window.partitionBy("source_path").orderBy("seq")
-    out = _with_arrays(out).withColumn("chromatogram_index", F.coalesce("own_index", F.row_number().over(w) - 1))
-    return out.drop("seq", "own_index").withColumnRenamed("_defaultArrayLength", "default_array_length")
+    return _with_arrays(out).withColumnRenamed("_defaultArrayLength", "default_array_length")
 
 
 def peaks(spectra_: DataFrame, width: float = S.MZ_WIDTH) -> DataFrame:
@@ -259,7 +390,7 @@ def peaks(spectra_: DataFrame, width: float = S.MZ_WIDTH) -> DataFrame:
     return out.select("run_id", "spectrum_index", "pos", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"), fn.window_index(F.col("p.mz"), width).alias("mz_bin"))
 
 
-def dangling_references(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
+def dangling_references(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
     """(source_path, kind, ref) of spectra's references that name nothing in their document: parameter groups, data
     processing and precursor spectra."""
     s = spectra(spark, path, charset)
@@ -281,6 +412,6 @@ def parameters(spectra_: DataFrame) -> DataFrame:
     return spectra_.select("source_path", "spectrum_index", F.posexplode(parts).alias("row_no", "p")).select("source_path", "spectrum_index", "row_no", "p.*")
 
 
-def stream(spark: SparkSession, path: str, charset: str = "ISO-8859-1") -> DataFrame:
+def stream(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
     """Raw spectrum elements of the files of a folder as they come."""
-    return spark.readStream.format("xml").option("rowTag", "spectrum").option("charset", charset).schema(SPECTRUM).load(path)
+    return spark.readStream.format("xml").option("rowTag", "spectrum").option("charset", _charset(spark, path, charset)).schema(SPECTRUM).load(path)

@@ -8,10 +8,12 @@ window directories; the header holds every section's place, length and checksum.
 
 from __future__ import annotations
 
+import json
 import zlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from .. import schema as S
 from ..functions import arrays as A
+from ..functions import elements as E
 
-# Signature, trailer, sizes, and the places of the header's fields.
-SIGNATURE, TRAILER, HEADER_BYTES = b"IONIC\0\0\0", b"\0\0\0CINOI", 1024
+#: Marks at the begin and the end of files that are written here. Readers also take other marks of eight bytes each,
+#: of files with the same layout, as (signature, trailer).
+SIGNATURE, TRAILER = b"SPFRUN\0\0", b"\0\0NURFPS"
+# Sizes, and the places of the header's fields.
+HEADER_BYTES = 1024
 SECTIONS = ("A0", "A1", "A2", "A3", "B0", "B1", "B2", "B3", "C", "D", "E", "spectra", "chromatograms")
 COUNTS = (
     "spectrum_blocks", "chromatogram_blocks", "n_spectra", "n_chromatograms", "spectrum_kinds", "chromatogram_kinds", "C_rows", "C_numbers", "C_texts", "D_rows", "D_numbers", "D_texts",
@@ -70,11 +76,11 @@ class Header:
         return bytes(out)
 
     @classmethod
-    def parse(cls, raw: bytes) -> Header:
+    def parse(cls, raw: bytes, signature: bytes = SIGNATURE) -> Header:
         """Checks, in this order: size, signature, endianness, version, codec and level, reserved bytes, checksum."""
         if len(raw) < HEADER_BYTES:
             raise S.Malformed("header too short")
-        if raw[:8] != SIGNATURE:
+        if raw[:8] != signature:
             raise S.Malformed("bad signature")
         if raw[8]:
             raise S.Unsupported("not little-endian")
@@ -115,9 +121,9 @@ def unpack(raw: bytes, plain: int, codec: int, most: int = MOST_BYTES) -> bytes:
 class RunFile:
     """A file, through read(offset, length) -> bytes; size may be unknown (None) for remote stores."""
 
-    def __init__(self, read: Callable[[int, int], bytes], size: int | None = None, verify: bool = True, most: int = MOST_BYTES) -> None:
-        self._read, self.size, self.verify, self.most = read, size, verify, most
-        self.header = h = Header.parse(self.read(0, HEADER_BYTES))
+    def __init__(self, read: Callable[[int, int], bytes], size: int | None = None, verify: bool = True, most: int = MOST_BYTES, marks: tuple[bytes, bytes] = (SIGNATURE, TRAILER), cache_bytes: int = 256 << 20) -> None:
+        self._read, self.size, self.verify, self.most, self.trailer = read, size, verify, most, marks[1]
+        self.header = h = Header.parse(self.read(0, HEADER_BYTES), marks[0])
         if size is not None:
             if h.counts["file_size"] != size:
                 raise S.Malformed("file size differs from the header")
@@ -131,7 +137,7 @@ class RunFile:
             if not np.isin(t["dtype"], list(S.DTYPE_BYTES)).all():
                 raise S.Unsupported("unknown element type")
         self.blocks = {k: self._directory(k, f"{k[:-1] if k == 'chromatograms' else 'spectrum'}_blocks") for k in ("spectra", "chromatograms")}
-        self.block = lru_cache(maxsize=64)(self._block)
+        self.cache, self.cache_bytes, self.cached = OrderedDict(), cache_bytes, 0
 
     @classmethod
     def open(cls, path: str, **options) -> RunFile:
@@ -161,7 +167,7 @@ class RunFile:
             if offset < end or offset % 8 or offset + length > self.size:
                 raise S.Malformed(f"section at {offset}")
             end = offset + length
-        if self.read(self.size - 8, 8) != TRAILER:
+        if self.read(self.size - 8, 8) != self.trailer:
             raise S.Malformed("bad trailer")
 
     def _checked(self, raw: bytes, crc: int, what: str) -> bytes:
@@ -184,6 +190,18 @@ class RunFile:
         raw = self._checked(self.read(offset + length - size, size), self.header.checksums[name], f"{name} directory") if size else b""
         return np.frombuffer(raw, DIRECTORY)
 
+    def block(self, name: str, number: int, stride: int) -> bytes:
+        """A plain block, from the cache of the blocks read last, which holds up to `cache_bytes`."""
+        key = (name, number, stride)
+        if key in self.cache:
+            self.cache.move_to_end(key)
+            return self.cache[key]
+        out = self.cache[key] = self._block(name, number, stride)
+        self.cached += len(out)
+        while self.cached > self.cache_bytes and len(self.cache) > 1:
+            self.cached -= len(self.cache.popitem(last=False)[1])
+        return out
+
     def _block(self, name: str, number: int, stride: int) -> bytes:
         if number >= len(self.blocks[name]):
             raise S.OutOfRange(f"block {number}")
@@ -277,6 +295,33 @@ class RunFile:
         items = int(np.frombuffer(body[:18], "<u2").sum())
         yield from metadata_rows(body[32:], items, c["E_rows"], c["E_numbers"], c["E_texts"])
 
+    # nested values
+
+    def elements(self, name: str, names: dict[str, str] | None = None) -> Iterator[tuple[int, str, dict]]:
+        """(item, tag, value) of the items of C or D, in the current form; names: of accessions, which files do not hold."""
+        held: list[tuple] = []
+        item = None
+        for row in (*self.metadata(name), (None,)):
+            if row[0] != item and held:
+                # The list's own node comes with the first item of a group, and is no part of the item.
+                own = [r for r in held if r[2] != 1]
+                for tag, value in E.assembled(_plain_rows(own), names):
+                    yield item, tag, value
+                held = []
+            item = row[0]
+            held.append(row)
+
+    def head(self, names: dict[str, str] | None = None) -> Iterator[tuple[str, dict]]:
+        """(tag, value) of what the run holds beside its items: head elements, the run, and lists' attributes."""
+        lists: dict[str, dict] = {}
+        for tag, value in E.assembled(_plain_rows(list(self.global_metadata())), names):
+            holder = HOLDERS.get(tag)
+            if holder == tag:
+                yield tag, value
+            elif holder:
+                lists.setdefault(holder, {}).setdefault(tag, []).append(value)
+        yield from lists.items()
+
     # range reads, and what they would read
 
     def _window_span(self, lo: float, hi: float, n: int) -> range:
@@ -360,6 +405,19 @@ class RunFile:
         return [x for x in [*out, ("trailer", c["file_size"] - 8, 8)] if x[2]]
 
 
+#: Items of the run's own metadata in the order of their counts, and the element that holds each.
+GLOBAL = ("fileDescription", "run", "referenceableParamGroup", "sample", "instrumentConfiguration", "software", "dataProcessing", "scanSettings", "cv")
+HOLDERS = {
+    "fileDescription": "fileDescription", "run": "run", "referenceableParamGroup": "referenceableParamGroupList", "sample": "sampleList", "instrumentConfiguration": "instrumentConfigurationList",
+    "software": "softwareList", "dataProcessing": "dataProcessingList", "scanSettings": "scanSettingsList", "cv": "cvList", "sampleList": "sampleList",
+}
+
+
+def _plain_rows(stored: list[tuple]) -> list[tuple]:
+    """Rows of `metadata` as `elements.assembled` takes them: numbers as text again."""
+    return [(r[2], r[3], r[4], r[5], r[6], r[7], r[8], r[11] if r[10] is None else np.format_float_positional(r[10], trim="-")) for r in stored]
+
+
 def merge(ranges: list[tuple[int, int]], gap: int = 0) -> list[tuple[int, int]]:
     """Sorted ranges joined where the next begins at most `gap` behind the end so far; empty ones are left out."""
     out: list[list[int]] = []
@@ -419,6 +477,7 @@ TABLES = {
     "segments": "row_no long, offset long, count long, block long, accession long, dtype short, filter short, encoded long, continues short, cv short",
     "blocks": "container string, block long, offset long, size long, plain long, crc long", "sections": "section string, offset long, length long", "open_ranges": "section string, offset long, length long",
     "windows": "mz_bin long, spectrum_index long, mz_address long, intensity_address long",
+    "elements": "spectrum_index long, element string", "chromatogram_elements": "chromatogram_index long, element string", "head": "tag string, element string",
     "metadata": "section string, item_index long, row_no long, node_id long, parent_id long, tag int, cv int, accession long, unit_cv int, unit_accession long, value_kind int, num double, text string",
 }
 
@@ -446,6 +505,12 @@ def table_rows(f: RunFile, table: str, lo: int = 0, hi: int | None = None) -> It
         w = f.windows()
         bins = np.repeat(np.arange(len(w["starts"]) - 1), np.diff(w["starts"].astype(np.int64)))
         yield from zip(bins.tolist(), w["item"].tolist(), w["x_address"].tolist(), w["y_address"].tolist())
+    elif table in ("elements", "chromatogram_elements"):
+        name = "C" if table == "elements" else "D"
+        if f.header.counts[f"{name}_groups"]:
+            yield from ((i, json.dumps(value)) for i, _, value in f.elements(name))
+    elif table == "head":
+        yield from ((tag, json.dumps(value)) for tag, value in f.head())
     elif table == "metadata":
         for name in ("C", "D"):
             if f.header.counts[f"{name}_groups"]:
@@ -476,7 +541,7 @@ class RunFileSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite) -> DataSourceWriter:
-        """Each partition becomes one file of its rows (spectrum_index, id, params, arrays, summary columns) in order."""
+        """Each run of a partition becomes one file; rows come as `sinks.runfile.rows` gives them."""
         return _FileWriter(self.options)
 
 
@@ -484,6 +549,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path, self.table = options["path"], options.get("table", "spectra")
         self.verify, self.items = options.get("verify", "true") == "true", int(options.get("itemsPerPartition", 4096))
+        # Marks of files that others wrote, each as hexadecimal digits.
+        self.marks = tuple(bytes.fromhex(options[k]) if k in options else v for k, v in (("signature", SIGNATURE), ("trailer", TRAILER)))
 
     def partitions(self) -> list:
         import glob
@@ -493,19 +560,19 @@ class _Reader(DataSourceReader):
         out = []
         for p in (p for p in paths if os.path.isfile(p)):
             with open(p, "rb") as f:
-                counts = Header.parse(f.read(HEADER_BYTES)).counts
+                counts = Header.parse(f.read(HEADER_BYTES), self.marks[0]).counts
             n = {"arrays": counts["n_spectra"], "chromatogram_arrays": counts["n_chromatograms"], "spectra": counts["n_spectra"], "chromatograms": counts["n_chromatograms"]}.get(self.table)
             out += [_Part(p, lo, lo + self.items) for lo in range(0, n, self.items)] if n is not None else [_Part(p, 0, -1)]
         return out
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        f = RunFile.open(partition.path, verify=self.verify)
+        f = RunFile.open(partition.path, verify=self.verify, marks=self.marks)
         yield from table_rows(f, self.table, partition.lo, None if partition.hi < 0 else partition.hi)
 
 
 @dataclass
 class _Wrote(WriterCommitMessage):
-    path: str | None
+    paths: list[str]
 
 
 class _FileWriter(DataSourceWriter):
@@ -519,36 +586,35 @@ class _FileWriter(DataSourceWriter):
 
         from ..sinks import runfile as sink
 
-        rows = sorted((r.asDict(recursive=True) for r in iterator), key=lambda r: r["spectrum_index"])
-        if not rows:
-            return _Wrote(None)
         os.makedirs(self.path, exist_ok=True)
-        path = os.path.join(self.path, f".{uuid.uuid4().hex}.run")
-        sink.write(path, ({k: v for k, v in r.items() if v is not None} for r in rows), **self.options)
-        return _Wrote(path)
+        # Rows come sorted (`sinks.runfile.rows`): of each run the head, spectra, chromatograms; none is held.
+        paths = []
+        for _, rows in groupby((r.asDict(recursive=True) for r in iterator), key=lambda r: r.get("source_path")):
+            paths.append(os.path.join(self.path, f".{uuid.uuid4().hex}.run"))
+            sink.write_rows(paths[-1], rows, **self.options)
+        return _Wrote(paths)
 
     def commit(self, messages) -> None:
         import os
 
-        for m in messages:  # files get their names when all tasks have written theirs
-            if m and m.path:
-                folder, name = os.path.split(m.path)
-                os.replace(m.path, os.path.join(folder, name[1:]))
+        for path in (p for m in messages if m for p in m.paths):  # files get their names when all tasks have written theirs
+            folder, name = os.path.split(path)
+            os.replace(path, os.path.join(folder, name[1:]))
 
     def abort(self, messages) -> None:
         import os
 
-        for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        for path in (p for m in messages if m for p in m.paths):
+            if os.path.exists(path):
+                os.remove(path)
 
 
-def read_files(spark: SparkSession, path: str, table: str = "spectra", verify: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, path: str, table: str = "spectra", verify: bool = True, **options) -> DataFrame:
     """A table of files in any store that Spark reads: each file is one task's buffer. Adds the column source_path."""
-    return read_contents(spark.read.format("binaryFile").load(path).select("path", "content"), table, verify)
+    return read_contents(spark.read.format("binaryFile").load(path).select("path", "content"), table, verify, **options)
 
 
-def read_contents(contents: DataFrame, table: str = "spectra", verify: bool = True) -> DataFrame:
+def read_contents(contents: DataFrame, table: str = "spectra", verify: bool = True, **options) -> DataFrame:
     """A table of files in contents(path, content)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -559,7 +625,7 @@ def read_contents(contents: DataFrame, table: str = "spectra", verify: bool = Tr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                f = RunFile.of_bytes(content, verify=verify)
+                f = RunFile.of_bytes(content, verify=verify, **options)
                 held: list = []
                 for row in table_rows(f, table):
                     held.append((path, *row))
