@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import unicodedata
 import uuid
 from functools import lru_cache
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that the vectorised passes hold at once, so that their arrays stay in the processor's cache; a longer
 #: single text is one slice.
 SLICE_BYTES = 1 << 18
+#: Bytes of a batch that goes to Python, and the setting that bounds it.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Ids of a bucket that one task compares by itself, and members of all their sets.
 SMALL_BUCKET, SMALL_SETS = 1024, 1 << 19
 #: Ids of a larger bucket that go to all of its blocks, about.
@@ -222,10 +226,12 @@ def shingles(h: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode one is made where it is unset."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="spectraframe-")
@@ -233,15 +239,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders with tables, by application, that are removed when the driver ends.
+_FOLDERS: dict[str, str] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables that operators wrote in this session; results that are not written yet can't be read any more."""
+    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and spark.sparkContext._gateway is not None:
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001  the session may be gone; its folder is not worth an error then
+            pass
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: cut lineage that survives executors."""
+    """df written once as Parquet to the shared folder and read again: cut lineage that survives executors.
+
+    The tables of a session go when its driver ends, or with `release`.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    bound_batches(spark)
+    own = spark.sparkContext.applicationId
+    if own not in _FOLDERS:
+        _FOLDERS[own] = f"{shared_folder(spark).rstrip('/')}/tables-{own}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_release_at_exit, spark)
+    path = f"{_FOLDERS[own]}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by bytes, unless the session says how large they are.
+
+    By rows alone a batch of long texts can be as large as they like, in the JVM's native memory and in the worker's.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
