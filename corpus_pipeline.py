@@ -1,8 +1,9 @@
 """A corpus pipeline of five text operators: documents in, token digests of what is kept out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. Nulls, empty texts, repeated rows, ties and empty tables are dealt with as the operators say:
-rows with a null id or text go through every stage (a null id never counts as a duplicate).
+next stage's docs. Nulls, empty texts, repeated rows, ties and empty tables are dealt with as the operators say: a row
+with a null id or text is scored like any other, and goes if its score is low; a null text has no lines, no words and
+no overlap; of a class of near-duplicates, repeated rows and rows without an id included, one row stays.
 """
 
 from __future__ import annotations
