@@ -173,6 +173,26 @@ def name_filter(name: Column, pattern: str | None = None, exact: str | None = No
     return name == exact if exact is not None else name.rlike(regex) if regex is not None else F.lit(True)
 
 
+def narrowed(value: Column) -> Column:
+    """A double as it is after it was stored in single precision."""
+    return value.cast("float").cast("double")
+
+
+def checksum_text(data: Column) -> Column:
+    """SHA-1 of bytes or UTF-8 text, as documents state it: lowercase hexadecimal."""
+    return F.sha1(data)
+
+
+def to_base64(data: Column) -> Column:
+    """Base64 without line breaks, as array text has it; text counts as UTF-8."""
+    return F.regexp_replace(F.base64(data), "[\\r\\n]", "")
+
+
+def from_base64(text: Column) -> Column:
+    """Bytes of base64 text; white space within it is left out."""
+    return F.unbase64(F.regexp_replace(text, "\\s", ""))
+
+
 def positive(value: float, what: str) -> float:
     if not (0 < value < float("inf")):
         raise ValueError(f"{what} must be finite and above 0")

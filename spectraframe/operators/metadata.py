@@ -89,6 +89,11 @@ def dangling(refs: DataFrame, ids: DataFrame, ref: str = "ref", key: str = "id")
     return refs.where(F.col(ref).isNotNull()).join(ids.select(F.col(key).alias(ref)).distinct(), ref, "left_anti")
 
 
+def resolved(refs: DataFrame, ids: DataFrame, ref: str = "ref", key: str = "id") -> DataFrame:
+    """Rows of refs with the columns of what their reference names; others, and null references, are left out."""
+    return refs.join(ids.withColumnRenamed(key, ref), ref)
+
+
 def precursors(spectra: DataFrame) -> DataFrame:
     """Spectra with the index of the spectrum that their precursor reference names, if it exists."""
     ids = spectra.select("run_id", F.col("id").alias("precursor_ref"), F.col("spectrum_index").alias("precursor_index"))

@@ -74,14 +74,27 @@ def delta_decode(table: DataFrame, by: str, order: str, delta: str = "delta", ou
     return table.withColumn(out, F.sum(delta).over(w))
 
 
-def global_ordinals(table: DataFrame, order: list[str], out: str = "ordinal") -> DataFrame:
+def global_ordinals(table: DataFrame, order: list[str], out: str = "ordinal", parts: int = 64) -> DataFrame:
     """Numbers from 0 over the whole table by `order`, without a single-partition window.
 
-    A range-sorted copy is numbered within partitions, and offsets come from the partitions' counts, one row each.
+    Rows are dealt into `parts` stretches of the first column, at values of a bounded sample, so that a row's stretch
+    follows from its value alone; they are numbered within stretches, and offsets come from a row for each stretch.
     """
-    ordered = table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    ordered = ordered.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = ordered.groupBy("__p").agg(F.count("*").alias("__n"))
-    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out_ = ordered.join(F.broadcast(base.select("__p", "__base")), "__p")  # a row for each partition
-    return out_.withColumn(out, (F.col("__base") + F.col("__i")).cast("long")).drop("__m", "__p", "__i", "__base")
+    first = order[0]
+    n = table.count()
+    sample = table.select(first).where(F.col(first).isNotNull()).sample(min(1.0, 100 * parts / max(n, 1)), 11).collect()
+    values = sorted({r[0] for r in sample})
+    cuts = [values[len(values) * k // parts] for k in range(1, parts)] if len(values) > parts else values[1:]
+
+    def stretch(lo: int, hi: int):
+        """The number of cuts at or below the value, by halves."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(first) < F.lit(cuts[mid]), stretch(lo, mid)).otherwise(stretch(mid + 1, hi))
+
+    part = F.when(F.col(first).isNull(), F.lit(-1)).otherwise(stretch(0, len(cuts)))  # nulls first, as in the order
+    ordered = table.withColumn("__p", part).withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each stretch
+    base = table.groupBy(part.alias("__p")).agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return ordered.join(F.broadcast(base), "__p").withColumn(out, (F.col("__base") + F.col("__i") - 1).cast("long")).drop("__p", "__i", "__base")

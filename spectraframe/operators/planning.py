@@ -9,14 +9,31 @@ from .. import schema as S
 from . import scans
 
 
-def merge_ranges(ranges: DataFrame, gap: int = 0, by: list[str] | None = None) -> DataFrame:
-    """Ranges(offset, length) joined where the next begins at most `gap` behind the end so far; empty ones are left out."""
+def merge_ranges(ranges: DataFrame, gap: int = 0, by: list[str] | None = None, parts: int = 256) -> DataFrame:
+    """Ranges(offset, length) joined where the next begins at most `gap` behind the end so far; empty ones are left out.
+
+    Without `by` all ranges are one list. It is cut into `parts` stretches of offsets, which are dealt with side by
+    side: each learns the largest end before it, and how many joined ranges begin there, from a row for each stretch.
+    """
     by = by or []
     rows = ranges.where("length > 0").withColumn("end", F.col("offset") + F.col("length"))
-    w = Window.partitionBy(*by).orderBy("offset", "length")
-    last = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.when(last.isNull() | (F.col("offset") > last + gap), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if by:
+        w = Window.partitionBy(*by).orderBy("offset", "length")
+        last = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("new", F.when(last.isNull() | (F.col("offset") > last + gap), 1).otherwise(0))
+        rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        low, high = rows.agg(F.min("offset"), F.max("offset")).first()
+        size = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
+        rows = rows.withColumn("part", F.floor((F.col("offset") - F.lit(low or 0)) / size).cast("int"))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each part
+        ends = rows.groupBy("part").agg(F.max("end").alias("e")).select("part", F.max("e").over(before).alias("end_before"))
+        w = Window.partitionBy("part").orderBy("offset", "length")
+        rows = rows.join(F.broadcast(ends), "part")
+        last = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("end_before"))
+        rows = rows.withColumn("new", F.when(last.isNull() | (F.col("offset") > last + gap), 1).otherwise(0))
+        begun = rows.groupBy("part").agg(F.sum("new").alias("k")).select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("begun"))
+        rows = rows.join(F.broadcast(begun), "part").withColumn("island", F.col("begun") + F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = rows.groupBy(*by, "island").agg(F.min("offset").alias("offset"), F.max("end").alias("end"))
     return out.select(*by, "offset", (F.col("end") - F.col("offset")).alias("length"))
 

@@ -2,32 +2,62 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 
 
-def range_join(peaks: DataFrame, targets: DataFrame, width: float = S.MZ_WIDTH, salt: int = 1) -> DataFrame:
-    """Pairs of peaks(mz, mz_bin, ...) and targets(lo, hi, ...) with lo <= mz <= hi.
+#: A level's step is so many times that of the level below; a target touches that many steps of its level, and one more.
+FACTOR = 16
+
+
+def range_join(peaks: DataFrame, targets: DataFrame, step: float | None = None, salt: int = 1, width: float = S.MZ_WIDTH) -> DataFrame:
+    """Pairs of peaks(mz, ...) and targets(lo, hi, ...) with lo <= mz <= hi.
 
-    Each target goes to the windows that it touches, so the join is an equi-join on the window with the range left
-    as a condition: no nested loop. With salt > 1 peaks of a window are dealt over so many parts, for dense windows;
-    targets are copied to each. Targets with null, NaN or reversed bounds join nothing. Peaks keep their window
-    number from `mz_bin` (of the same width).
+    An equi-join on steps of m/z, with the range left as a condition: no nested loop. The step is about the targets'
+    own mean width (or as given), so a peak meets few targets that it isn't in; wider targets have levels of coarser
+    steps, so none is copied often. With salt > 1 peaks of a step are dealt over so many parts, for dense steps;
+    targets are copied to each. Targets with null, NaN or reversed bounds join nothing. Peaks with `mz_bin` (of the
+    given width) are read only in the windows between the least and the largest bound.
     """
     ok = targets.where("lo <= hi AND NOT isnan(lo) AND NOT isnan(hi)")
-    low = F.greatest(F.floor(F.col("lo") / width), F.lit(0))
-    high = F.greatest(F.floor(F.col("hi") / width), F.lit(0))
-    high = F.least(high, F.lit(S.MAX_WINDOW))
-    spread = ok.withColumn("mz_bin", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
-    keys = ["mz_bin"]
+    wide = F.col("hi") - F.col("lo")
+    finite = F.when(wide < float("inf"), wide)
+    mean, lo, hi = ok.agg(F.avg(finite), F.min("lo"), F.max("hi")).first()
+    if lo is None:  # no target joins anything
+        lo, hi, mean = 1.0, 0.0, 1.0
+    step = float(step or max(mean or 0.0, width / 4096))
+    inside = peaks.where(F.col("mz").between(lo, hi))
+    if "mz_bin" in peaks.columns:
+        bound = lambda x: max(0, math.floor(x / width)) if math.isfinite(x) else (0 if x < 0 else S.MAX_WINDOW)
+        inside = inside.where(F.col("mz_bin").between(bound(lo), bound(hi)))
+    level = F.greatest(F.ceil(F.log(F.greatest(F.least(wide, F.lit(1e12)) / step, F.lit(1.0))) / math.log(FACTOR)) - 1, F.lit(0)).cast("int")
+    leveled = ok.withColumn("__level", level)
+    levels = sorted(r[0] for r in leveled.select("__level").distinct().collect())  # twelve at most
+    scale = lambda c, n: F.floor(c / (step * float(FACTOR) ** n)).cast("long")
+    bounded = lambda c: F.greatest(F.least(c, F.lit(1e15)), F.lit(-1e15))
+    ends = None
+    for n in levels:
+        one = leveled.where(F.col("__level") == n)
+        one = one.withColumn("__step", F.explode(F.sequence(scale(F.greatest(bounded(F.col("lo")), F.lit(float(max(lo, -1e15)))), n), scale(F.least(bounded(F.col("hi")), F.lit(float(min(hi, 1e15)))), n))))
+        ends = one if ends is None else ends.unionByName(one)
+    if ends is None:
+        ends = leveled.withColumn("__step", F.lit(0).cast("long"))
+    steps = F.array(*(F.struct(F.lit(n).alias("l"), scale(F.col("mz"), n).alias("s")) for n in levels or [0]))
+    if len(levels) > 1:
+        inside = inside.withColumn("__at", F.explode(steps))
+        inside = inside.withColumns({"__level": F.col("__at.l"), "__step": F.col("__at.s")}).drop("__at")
+        keys = ["__level", "__step"]
+    else:
+        inside, ends, keys = inside.withColumn("__step", scale(F.col("mz"), (levels or [0])[0])), ends.drop("__level"), ["__step"]
     if salt > 1:
-        spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        peaks = peaks.withColumn("salt", F.pmod(F.xxhash64("mz"), F.lit(salt)).cast("int"))
-        keys.append("salt")
-    out = peaks.join(spread, keys).where(F.col("mz").between(F.col("lo"), F.col("hi")))
-    return out.drop("salt") if salt > 1 else out
+        ends = ends.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        inside = inside.withColumn("__salt", F.pmod(F.xxhash64("mz"), F.lit(salt)).cast("int"))
+        keys.append("__salt")
+    return inside.join(ends, keys).where(F.col("mz").between(F.col("lo"), F.col("hi"))).drop(*keys)
 
 
 def nearest_before(left: DataFrame, right: DataFrame, by: str, time: str, value: str, out: str) -> DataFrame:

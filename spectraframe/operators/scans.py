@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -55,7 +55,12 @@ def select_scans(spectra: DataFrame, rt: Range | None = None, ms_level: int | No
 
 
 def with_both_axes(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
-    """Spectra that have peaks at all: those without either array are skipped by scans."""
+    """Spectra that have peaks at all: those without either array are skipped by scans.
+
+    Spectra of the native store hold the number of their peaks; without it all peaks are looked at.
+    """
+    if "n_peaks" in spectra.columns:
+        return spectra.where("n_peaks > 0")
     return spectra.join(peaks.select("spectrum_index").distinct(), "spectrum_index", "left_semi")
 
 
@@ -96,11 +101,25 @@ def totals(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
 
 
 def top_peaks(peaks: DataFrame, k: int) -> DataFrame:
-    """The k largest peaks of each spectrum, ties by m/z, with their rank from 1."""
-    one = F.struct((-F.col("intensity")).alias("i"), F.col("mz"))
-    best = peaks.groupBy("spectrum_index").agg(F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("best"))
-    out = best.select("spectrum_index", F.posexplode("best").alias("p", "x"))
-    return out.select("spectrum_index", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.mz").alias("mz"), (-F.col("x.i")).alias("intensity"))
+    """The k largest peaks of each spectrum, ties by m/z, with their rank from 1.
+
+    A ranked window with a bound: each task keeps k peaks of a spectrum before they are shuffled.
+    """
+    w = Window.partitionBy("spectrum_index").orderBy(F.desc("intensity"), "mz")
+    ranked = peaks.select("spectrum_index", "mz", "intensity", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    return ranked.select("spectrum_index", "rank", "mz", "intensity")
+
+
+def counts(spectra: DataFrame, peaks: DataFrame) -> DataFrame:
+    """One row: n_spectra and n_peaks. Spectra that hold the number of their peaks are enough."""
+    if "n_peaks" in spectra.columns:
+        return spectra.agg(F.count("*").alias("n_spectra"), F.coalesce(F.sum("n_peaks"), F.lit(0)).alias("n_peaks"))
+    return spectra.agg(F.count("*").alias("n_spectra")).crossJoin(peaks.agg(F.count("*").alias("n_peaks")))  # one row each
+
+
+def window_points(peaks: DataFrame, mz_bin: int, first: int, last: int) -> DataFrame:
+    """Peaks of one window of the spectra first to last: both conditions are on columns that the store is sorted by."""
+    return peaks.where((F.col("mz_bin") == mz_bin) & F.col("spectrum_index").between(first, last))
 
 
 def spectrum_at(spectra: DataFrame, index: int) -> DataFrame:

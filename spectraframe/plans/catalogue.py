@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import files
+from ..functions import arrays as array_text
 from ..functions import scalar as fn
 from ..operators import metadata, order, planning, rangejoin, scans, summaries, validate
+from ..sources import mzml
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -99,15 +103,74 @@ def spectrum_summaries(spark, sf_dir):
     return scans.summaries(A.spectra(spark, sf_dir)).select("spectrum_index", "rt", "ms_level", "polarity")
 
 
-@_query("SELECT run_id, min(rt) AS lowest_rt, max(rt) AS highest_rt, count(*) AS n_points, max(polarity) AS polarity FROM spectra GROUP BY 1", "spectra")
+@_query(
+    """SELECT o_custkey AS chromatogram_index, arg_max(o_totalprice, o_orderkey) AS lowest_mz, true AS no_highest,
+    CAST(coalesce(arg_max(CASE o_orderstatus WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) FILTER (o_orderstatus IN ('O', 'F')), 0) AS INTEGER) AS polarity FROM orders GROUP BY 1"""
+)
 def chrom_summaries(spark, sf_dir):
-    return A.spectra(spark, sf_dir).groupBy("run_id").agg(F.min("rt").alias("lowest_rt"), F.max("rt").alias("highest_rt"), F.count("*").alias("n_points"), F.max("polarity").alias("polarity"))
+    t = A.table(spark, sf_dir, "orders")
+    sign = F.when(F.col("o_orderstatus") == "O", "MS:1000130").when(F.col("o_orderstatus") == "F", "MS:1000129").otherwise("MS:1000000")
+    cell = lambda a, v: F.struct(a.alias("accession"), v.cast("string").alias("value"))
+    rows = t.select(F.col("o_custkey").alias("chromatogram_index"), "o_orderkey", F.posexplode(F.array(cell(F.lit("MS:1000528"), F.col("o_totalprice")), cell(F.lit("MS:1000527"), F.col("o_orderpriority")), cell(sign, F.lit(None)))).alias("k", "c"))
+    rows = rows.select("chromatogram_index", (F.col("o_orderkey") * 3 + F.col("k")).alias("row_no"), "c.*")
+    out = summaries.chromatogram_summaries(rows, {"lowest_mz": "MS:1000528", "highest_mz": "MS:1000527"})
+    return out.select("chromatogram_index", "lowest_mz", F.isnan("highest_mz").alias("no_highest"), F.col("polarity").cast("int").alias("polarity"))
+
+
+@_query(
+    """SELECT o_orderkey AS spectrum_index, CAST(substr(o_orderpriority, 1, 1) AS SMALLINT) AS ms_level, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 0 END AS polarity,
+    o_totalprice AS rt, CAST(2 AS SMALLINT) AS rt_unit, o_totalprice / 2 AS total_ion_current, true AS no_base FROM orders"""
+)
+def summary_derivation(spark, sf_dir):
+    """Orders as parameters of spectra, levels and all, and the summaries that follow from them."""
+    t = A.table(spark, sf_dir, "orders")
+    cell = lambda level, a, v, unit=None: F.struct(F.lit(level).alias("level"), (a if not isinstance(a, str) else F.lit(a)).alias("accession"), v.cast("string").alias("value"), F.lit(unit).cast("string").alias("unit_accession"), F.lit(None).cast("string").alias("unit_name"))
+    sign = F.when(F.col("o_orderstatus") == "O", "MS:1000130").when(F.col("o_orderstatus") == "F", "MS:1000129").otherwise("MS:1000000")
+    cells = F.array(
+        cell("spectrum", "MS:1000511", F.lit("9")), cell("spectrum", "MS:1000511", F.substring("o_orderpriority", 1, 1)), cell("spectrum", sign, F.lit(None)), cell("spectrum", "MS:1000285", F.col("o_totalprice") / 2),
+        cell("spectrum", "MS:1000504", F.col("o_orderpriority")), cell("scan_list", "MS:1000016", F.lit("1.5"), "UO:0000010"), cell("scan", "MS:1000016", F.lit("NaN"), "UO:0000010"), cell("scan", "MS:1000016", F.col("o_totalprice"), "UO:0000031"),
+    )
+    rows = t.select(F.col("o_orderkey").alias("spectrum_index"), F.posexplode(cells).alias("row_no", "c")).select("spectrum_index", "row_no", "c.*")
+    out = summaries.spectrum_summaries(rows)
+    return out.select("spectrum_index", "ms_level", F.col("polarity").cast("int").alias("polarity"), "rt", "rt_unit", "total_ion_current", F.isnan("base_peak_mz").alias("no_base"))
+
+
+@_query(
+    """SELECT min(o) AS "offset", max(e) - min(o) AS length FROM (SELECT *, sum(n) OVER (ORDER BY o, e) AS island FROM
+    (SELECT *, CASE WHEN o <= max(e) OVER (ORDER BY o, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 0 ELSE 1 END AS n FROM
+    (SELECT o_orderkey * 7 AS o, o_orderkey * 7 + CAST(o_custkey % 9 AS BIGINT) AS e FROM orders WHERE o_custkey % 9 > 0))) GROUP BY island"""
+)
+def merge_ranges_global(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 7).alias("offset"), (F.col("o_custkey") % 9).alias("length"))
+    return planning.merge_ranges(rows, 3)
+
+
+@_query("SELECT t.target_id, count(*) AS n_peaks FROM (SELECT target_id, lo, CASE WHEN target_id % 50 = 0 THEN lo + 400 ELSE hi END AS hi FROM targets) t JOIN peaks p ON p.mz BETWEEN t.lo AND t.hi GROUP BY 1", "targets", "peaks")
+def range_join_levels(spark, sf_dir):
+    t = A.targets(spark, sf_dir).withColumn("hi", F.when(F.col("target_id") % 50 == 0, F.col("lo") + 400).otherwise(F.col("hi")))
+    return rangejoin.range_join(A.peaks(spark, sf_dir), t).groupBy("target_id").agg(F.count("*").alias("n_peaks"))
+
+
+@_query("SELECT vec_id, i - 1 AS pos, CAST(CAST(round(embedding[i] * 1000) AS SMALLINT) AS DOUBLE) AS v FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding)")
+def array_int16(spark, sf_dir):
+    """Arrays of 16-bit integers as text, and back by the type that their parameters state."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, v in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist()):
+                # Halves are rounded away from zero, as in SQL.
+                whole = [int(np.floor(abs(np.float64(np.float32(x)) * 1000) + 0.5) * (1 if x >= 0 else -1)) for x in v or ()]
+                text = array_text.encode(whole, 4, True)
+                rows += [(k, i, float(x)) for i, x in enumerate(mzml.decode(text, ["MS:1000518", "MS:1000574"], len(whole)).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.float64()))], names=["vec_id", "pos", "v"])
+
+    return A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, pos int, v double")
 
 
 @_query("SELECT count(*) AS n_spectra, (SELECT count(*) FROM peaks) AS n_peaks FROM spectra", "spectra", "peaks")
 def counts(spark, sf_dir):
-    n = A.peaks(spark, sf_dir).agg(F.count("*").alias("n_peaks"))
-    return A.spectra(spark, sf_dir).agg(F.count("*").alias("n_spectra")).crossJoin(n)  # one row each
+    return scans.counts(A.spectra(spark, sf_dir), A.peaks(spark, sf_dir))
 
 
 @_query(
@@ -142,11 +205,13 @@ def array_widen(spark, sf_dir):
     return A.table(spark, sf_dir, "embeddings").select("vec_id", F.size(x).cast("long").alias("n"), F.element_at(x, 1).alias("first"), F.element_at(x, -1).alias("last"))
 
 
-@_query("SELECT vec_id, 0 AS n FROM embeddings")
+@_query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 5 ELSE 0 END AS n FROM embeddings")
 def array_missing_kind(spark, sf_dir):
-    arrays = F.array(F.struct(F.lit(1000515).alias("accession"), F.col("embedding").alias("values")))
-    out = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("spectrum_index"), arrays.alias("arrays"))
-    return out.select(F.col("spectrum_index").alias("vec_id"), F.size(fn.first_array(F.col("arrays"), 1000514)).alias("n"))
+    # Odd vectors lack the kind that is asked for; even ones have it, behind another one.
+    kind = F.when(F.col("vec_id") % 2 == 0, 1000514).otherwise(1000786)
+    arrays = F.array(F.struct(F.lit(1000515).alias("accession"), F.col("embedding").alias("values")), F.struct(kind.alias("accession"), F.slice("embedding", 1, 5).alias("values")))
+    out = A.table(spark, sf_dir, "embeddings").select("vec_id", arrays.alias("arrays"))
+    return out.select("vec_id", F.size(fn.first_array(F.col("arrays"), 1000514)).alias("n"))
 
 
 @_query("SELECT vec_id, i - 1 AS pos, CAST(100 + 0.5 * (i - 1) AS DOUBLE) AS x, CAST(embedding[i] AS DOUBLE) AS y FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding) AND 100 + 0.5 * (i - 1) BETWEEN 105.0 AND 108.5")
@@ -166,7 +231,7 @@ def pos_pairing_truncate(spark, sf_dir):
 
 @_query("SELECT l_orderkey AS spectrum_index, l_linenumber AS line, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS mz32 FROM lineitem")
 def f32_narrow(spark, sf_dir):
-    return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spectrum_index"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").cast("float").cast("double").alias("mz32"))
+    return A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spectrum_index"), F.col("l_linenumber").alias("line"), fn.narrowed(F.col("l_extendedprice")).alias("mz32"))
 
 
 # --- joins --------------------------------------------------------------------------------------------
@@ -197,7 +262,7 @@ def precursor_asof(spark, sf_dir):
 
 @_query("SELECT mz_bin, spectrum_index, intensity FROM peaks WHERE mz_bin = 20 AND spectrum_index BETWEEN 100 AND 300", "peaks")
 def window_point_lookup(spark, sf_dir):
-    return A.peaks(spark, sf_dir).where((F.col("mz_bin") == 20) & F.col("spectrum_index").between(100, 300)).select("mz_bin", "spectrum_index", "intensity")
+    return scans.window_points(A.peaks(spark, sf_dir), 20, 100, 300).select("mz_bin", "spectrum_index", "intensity")
 
 
 @_query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)")
@@ -209,8 +274,9 @@ def dangling_refs(spark, sf_dir):
 
 @_query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 5")
 def resolved_refs(spark, sf_dir):
-    part = A.table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, "l_partkey").select("l_orderkey", "l_linenumber", "p_name")
+    part = A.table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("id"), "p_name")
+    refs = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("ref"))
+    return metadata.resolved(refs, part).select("l_orderkey", "l_linenumber", "p_name")
 
 
 @_query(
@@ -468,19 +534,18 @@ def name_filter_regex(spark, sf_dir):
 
 @_query("SELECT doc_id, sha1(text) AS sha1 FROM documents")
 def content_sha1(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("sha1"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", fn.checksum_text(F.col("text")).alias("sha1"))
 
 
 @_query("SELECT doc_id, n_chars, to_base64(encode(text)) AS b64 FROM documents")
 def base64_text(spark, sf_dir):
-    b = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\\s", "")
-    return A.table(spark, sf_dir, "documents").select("doc_id", "n_chars", b.alias("b64"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", "n_chars", fn.to_base64(F.encode("text", "UTF-8")).alias("b64"))
 
 
 @_query("SELECT doc_id, text FROM documents")
 def base64_roundtrip(spark, sf_dir):
-    b = F.base64(F.encode("text", "UTF-8"))
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.decode(F.unbase64(F.regexp_replace(b, "\\s", "")), "UTF-8").alias("text"))
+    b = fn.from_base64(fn.to_base64(F.encode("text", "UTF-8")))
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.decode(b, "UTF-8").alias("text"))
 
 
 @_query("SELECT event_id, props AS name, event_type AS value, CAST(NULL AS VARCHAR) AS type FROM events")
@@ -537,15 +602,21 @@ def run_checks(spark, sf_dir):
     return validate.check_run(A.spectra(spark, sf_dir), A.peaks(spark, sf_dir, pos=True))
 
 
-@_query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+@_query(
+    """SELECT s AS status, count(o_orderkey) AS n FROM (VALUES ('ok', 'O'), ('failed', 'F'), ('skipped', 'P'), ('fixed', '-')) v(s, o) LEFT JOIN orders ON o_orderstatus = o GROUP BY 1"""
+)
 def convert_counters(spark, sf_dir):
-    return A.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    status = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "failed").otherwise("skipped")
+    return files.counters(A.table(spark, sf_dir, "orders").select(status.alias("status")))
 
 
-@_query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@_query(
+    """SELECT o_orderkey AS stem, o_custkey % 3 AS n_spectra FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey % 3 = o_custkey % 3)"""
+)
 def skip_existing(spark, sf_dir):
-    done = A.table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return A.table(spark, sf_dir, "part").select("p_partkey").join(done, "p_partkey", "left_anti")
+    o = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("stem"), (F.col("o_custkey") % 3).alias("n_spectra"), F.lit(1).alias("n_chromatograms"))
+    done = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stem"), (F.col("l_suppkey") % 3).alias("n_spectra"), F.lit(1).alias("n_chromatograms"))
+    return files.not_done(o, done).select("stem", "n_spectra")
 
 
 # --- stored runs and arrays as text ---------------------------------------------------------------------------

@@ -31,6 +31,10 @@ def write_run(path: str, spectra: DataFrame, peaks: DataFrame, width: float = S.
     bucket = 1 if level <= 5 else 9 if level <= 10 else 12 if level <= 16 else 22
     options = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(bucket)}
     peaks.repartitionByRange("mz_bin", "spectrum_index").sortWithinPartitions("mz_bin", "spectrum_index", "mz").write.options(**options).mode(mode).parquet(f"{path}/peaks")
+    # Spectra hold the number of their peaks, so scans need not look at peaks outside their range.
+    keys = [k for k in ("run_id", "spectrum_index") if k in spectra.columns and k in peaks.columns]
+    sizes = peaks.groupBy(*keys).agg(F.count("*").alias("n_peaks"))
+    spectra = spectra.drop("n_peaks").join(sizes, keys, "left").withColumn("n_peaks", F.coalesce("n_peaks", F.lit(0)))
     spectra.repartitionByRange("spectrum_index").sortWithinPartitions("spectrum_index").write.options(**options).mode(mode).parquet(f"{path}/spectra")
     meta = spectra.sparkSession.createDataFrame([(json.dumps({"format_version": FORMAT_VERSION, "mz_width": width, "level": level}),)], "value string")
     meta.coalesce(1).write.mode(mode).text(f"{path}/meta")
