@@ -21,6 +21,10 @@ ATTR_COUNT = 9_910_100
 DELTA_AXES = frozenset([S.MZ, S.TIME, 1003007, 1002816, 1003008, 1003153])
 
 
+#: Bytes of open blocks, at most.
+PENDING = 64 << 20
+
+
 class Writer:
     """Writes spectra, then chromatograms, then finishes. Items are dicts: id, params, arrays and summary values, and
     `element`, all that the item holds beside binary data (JSON; params are left aside then). head: values of the run's
@@ -49,7 +53,7 @@ class Writer:
     # blocks
 
     def _begin(self, name: str) -> None:
-        self.name, self.open, self.directory, self.start, self.used = name, {}, [], self.at, 0
+        self.name, self.open, self.directory, self.start, self.used, self.pending = name, {}, [], self.at, 0, 0
 
     def _pack(self, raw: bytes) -> bytes:
         if self.header.codec == R.NONE:
@@ -68,6 +72,7 @@ class Writer:
     def _flush(self, key: tuple) -> None:
         number, data = self.open.pop(key)
         raw = b"".join(data)
+        self.pending -= len(raw)
         stored = self._pack(A.transpose_bytes(raw, key[1]) if self.header.filter == R.SHUFFLE and key[1] > 1 else raw)
         self.directory[number] = (self.used, len(stored), len(raw), zlib.crc32(stored), 0)
         self._put(stored)
@@ -81,7 +86,7 @@ class Writer:
         if packing == R.DELTA:
             raw = A.delta_bits(raw, stride)
         key = (accession, stride, window)
-        if key in self.open and sum(map(len, self.open[key][1])) + len(raw) > self.header.block_size:
+        if key in self.open and sum(map(len, self.open[key][1])) + len(raw) > self.header.block_size:  # full
             self._flush(key)
         if key not in self.open:
             self.open[key] = (len(self.directory), [])
@@ -89,6 +94,10 @@ class Writer:
         number, data = self.open[key]
         offset = sum(map(len, data)) // stride
         data.append(raw)
+        self.pending += len(raw)
+        if self.pending > PENDING:  # blocks of many windows, none of them full
+            for other in list(self.open):
+                self._flush(other)
         rows = self.addresses[self.name]
         rows.append((offset, len(values), number, accession, dtype, packing, 0, int(go_on), 0))
         self.kinds[self.name].add(accession)
@@ -302,6 +311,7 @@ def write_rows(path: str, rows: Iterable[dict], head: dict[str, dict] | None = N
     """Sorted rows of one run (kind 0: tag and element of its head, 1: spectra, 2: chromatograms) to a file; how many."""
     import os
 
+    sweep(path)
     n, temporary = 0, f"{path}.{os.getpid()}.tmp"
     try:
         with open(temporary, "wb") as f:
@@ -317,6 +327,20 @@ def write_rows(path: str, rows: Iterable[dict], head: dict[str, dict] | None = N
     return n
 
 
+def sweep(path: str) -> list[str]:
+    """Removes unfinished files of a path whose process is gone; their names."""
+    import glob
+    import os
+
+    gone = []
+    for name in glob.glob(glob.escape(path) + ".*.tmp"):
+        pid = name.split(".")[-2]
+        if pid.isdigit() and not os.path.exists(f"/proc/{pid}"):
+            os.remove(name)
+            gone.append(name)
+    return gone
+
+
 def add(w: Writer, row: dict) -> None:
     kind, item = row.get("kind", 1), {k: v for k, v in row.items() if v is not None}
     if kind == 0:

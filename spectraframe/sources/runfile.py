@@ -137,7 +137,7 @@ class RunFile:
             if not np.isin(t["dtype"], list(S.DTYPE_BYTES)).all():
                 raise S.Unsupported("unknown element type")
         self.blocks = {k: self._directory(k, f"{k[:-1] if k == 'chromatograms' else 'spectrum'}_blocks") for k in ("spectra", "chromatograms")}
-        self.cache, self.cache_bytes, self.cached = OrderedDict(), cache_bytes, 0
+        self.cache, self.cache_bytes, self.cached, self.directories = OrderedDict(), cache_bytes, 0, {}
 
     @classmethod
     def open(cls, path: str, **options) -> RunFile:
@@ -250,7 +250,12 @@ class RunFile:
         return next((x["values"].astype(np.float64) for x in self.arrays(index, chromatogram) if x["accession"] == accession), np.zeros(0))
 
     def windows(self, name: str = "A0") -> dict[str, np.ndarray]:
-        """The window directory: starts, items, and address rows of both axes; missing or malformed raises."""
+        """The window directory, read once: starts, items, and address rows of both axes; missing or malformed raises."""
+        if name not in self.directories:
+            self.directories[name] = self._windows(name)
+        return self.directories[name]
+
+    def _windows(self, name: str) -> dict[str, np.ndarray]:
         length = self.header.sections[name][1]
         if not length:
             raise S.Malformed(f"{name} is missing")
@@ -286,6 +291,24 @@ class RunFile:
         if total != [self.header.counts[f"{name}_{k}"] for k in ("rows", "numbers", "texts")]:
             raise S.Malformed(f"{name}: totals differ from the header")
 
+    def metadata_of(self, index: int, name: str = "C") -> list[tuple]:
+        """Rows of one item, of which only its group is read; node numbers are those within the group, without the list's."""
+        offset, size = self.metadata_range(index, name)
+        start, length = self.header.sections[name]
+        count = self.header.counts[f"{name}_groups"]
+        g = index // max(1, self.header.counts["group_items"])
+        d = np.frombuffer(self.read(start + length - (count - g) * DIRECTORY.itemsize, DIRECTORY.itemsize), DIRECTORY)[0]
+        body = unpack(self._checked(self.read(offset, size), int(d["crc"]), f"{name} group"), int(d["plain"]), self.header.codec, self.most)
+        n, base = self.header.counts["n_spectra" if name == "C" else "n_chromatograms"], g * self.header.counts["group_items"]
+        if index >= n:
+            raise S.OutOfRange(f"item {index}")
+        rows = metadata_rows(body[12:], min(self.header.counts["group_items"], n - base), *np.frombuffer(body[:12], "<u4").tolist(), base=base)
+        return [r for r in rows if r[0] == index and r[2] != 1]
+
+    def element(self, index: int, name: str = "C", names: dict[str, str] | None = None) -> dict:
+        """The nested value of one item."""
+        return next(v for _, v in E.assembled(_plain_rows(self.metadata_of(index, name)), names))
+
     def global_metadata(self) -> Iterator[tuple]:
         """Rows of the run's own metadata, in the form of `metadata`; node numbers are as stored."""
         c = self.header.counts
@@ -330,15 +353,43 @@ class RunFile:
         of = lambda x: int(x // self.header.mz_width) if x > 0 else 0
         return range(min(of(lo), n), min(of(hi), n - 1) + 1)
 
+    def _entry(self, w: dict[str, np.ndarray], window: int, index: int) -> int | None:
+        """The place of a spectrum's entry in a window of the directory, whose entries are sorted by spectrum."""
+        lo, hi = int(w["starts"][window]), int(w["starts"][window + 1])
+        e = lo + int(np.searchsorted(w["item"][lo:hi], index))
+        return e if e < hi and w["item"][e] == index else None
+
     def in_range(self, index: int, lo: float, hi: float, x: int | str = "mz", y: int | str = "intensity") -> tuple[np.ndarray, np.ndarray]:
-        """x and y of a spectrum with x in the range, both ends inside, whatever windows they are filed under."""
+        """x and y of a spectrum with x in the range, both ends inside.
+
+        Of a spectrum that is split by windows only the windows of the range are read; others are read whole, whatever
+        windows they are filed under.
+        """
         if not (np.isfinite(lo) and np.isfinite(hi)) or lo > hi:
             raise S.BadRange(f"bad range {lo}..{hi}")
-        a, b = self.values(index, x), self.values(index, y)
+        if not 0 <= index < len(self.a2):
+            raise S.OutOfRange(f"item {index}")
+        a, b = self._split(index, lo, hi) if (S.AXES.get(x, x), S.AXES.get(y, y)) == (S.MZ, S.INTENSITY) else (None, None)
+        if a is None:
+            a, b = self.values(index, x), self.values(index, y)
         n = min(len(a), len(b))
         keep = (a[:n] >= lo) & (a[:n] <= hi)
         return a[:n][keep], b[:n][keep]
 
+    def _split(self, index: int, lo: float, hi: float) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """m/z and intensity of the windows of a range, if the spectrum has several; else nothing."""
+        first, count = int(self.a2[index]["first"]), int(self.a2[index]["count"])
+        rows = self.a3[first : first + count]
+        number = np.cumsum(rows["continues"] == 0)
+        of = lambda k: next((number == number[i] for i in np.flatnonzero(rows["accession"] == k)), np.zeros(len(rows), bool))
+        mz, intensity = of(S.MZ), of(S.INTENSITY)
+        if mz.sum() < 2 or mz.sum() != intensity.sum() or (rows["count"][mz] != rows["count"][intensity]).any() or not self.header.sections["A0"][1]:
+            return None, None
+        w = self.windows()
+        found = [e for b in self._window_span(lo, hi, len(w["starts"]) - 1) if (e := self._entry(w, b, index)) is not None]
+        read = lambda c: [self.segment("spectra", self.a3[int(w[c][e])]).astype(np.float64) for e in found]
+        return np.concatenate([np.zeros(0), *read("x_address")]), np.concatenate([np.zeros(0), *read("y_address")])
+
     def _block_range(self, number: int, name: str = "spectra") -> tuple[int, int]:
         d = self.blocks[name][number]
         return self.header.sections[name][0] + int(d["offset"]), int(d["size"])
@@ -361,7 +412,7 @@ class RunFile:
         if mz is not None:
             w = self.windows()
             span = self._window_span(*mz, len(w["starts"]) - 1)
-            inside = {int(w["x_address"][e]) - first for b in span for e in range(w["starts"][b], w["starts"][b + 1]) if w["item"][e] == index}
+            inside = {int(w["x_address"][e]) - first for b in span if (e := self._entry(w, b, index)) is not None}
             base = next((i for i, r in enumerate(rows) if r["accession"] == S.MZ), 0)
             inside = {i - base for i in inside}
         for n, own in sizes.items():
@@ -396,9 +447,9 @@ class RunFile:
         return offset + int(d["offset"]), int(d["size"])
 
     def touched(self) -> list[tuple[str, int, int]]:
-        """Ranges that opening reads: header, tables, directories and trailer."""
+        """Ranges that opening and the first range read take: header, tables, directories and trailer."""
         s, c = self.header.sections, self.header.counts
-        out = [("header", 0, HEADER_BYTES), *((k, *s[k]) for k in ("A1", "A2", "A3", "B1", "B2", "B3"))]
+        out = [("header", 0, HEADER_BYTES), *((k, *s[k]) for k in ("A0", "A1", "A2", "A3", "B0", "B1", "B2", "B3"))]
         for k, n in (("spectra", "spectrum_blocks"), ("chromatograms", "chromatogram_blocks"), ("C", "C_groups"), ("D", "D_groups")):
             size = c[n] * DIRECTORY.itemsize
             out.append((f"{k} directory", s[k][0] + s[k][1] - size, size))
@@ -648,29 +699,56 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
 
-def check(path: str) -> list[tuple[int, str, bool]]:
-    """(number, label, passed) of the checks of a file."""
+def check(path: str, marks: tuple[bytes, bytes] = (SIGNATURE, TRAILER)) -> list[tuple[int, str, bool]]:
+    """(number, label, passed) of the checks of a file, each on its own; a file that can't be opened fails the later ones."""
     out: list[tuple[int, str, bool]] = []
 
-    def one(label: str, f) -> None:
+    def one(label: str, f) -> bool:
         try:
-            f()
-            out.append((len(out) + 1, label, True))
-        except (S.SpectraError, OSError, ValueError):
-            out.append((len(out) + 1, label, False))
+            ok = f() is not False
+        except (S.SpectraError, OSError, ValueError, IndexError, KeyError):
+            ok = False
+        out.append((len(out) + 1, label, ok))
+        return ok
 
     with open(path, "rb") as raw:
         data = raw.read()
-    one("header", lambda: Header.parse(data[:HEADER_BYTES]))
-    try:
-        f = RunFile.of_bytes(data)
-    except S.SpectraError:
-        out.append((len(out) + 1, "layout, tables and directories", False))
-        return out
-    out.append((len(out) + 1, "layout, tables and directories", True))
-    one("window directory", lambda: f.windows() if f.header.sections["A0"][1] else None)
+    head = data[:HEADER_BYTES]
+    one("header is whole", lambda: len(head) == HEADER_BYTES)
+    one("signature", lambda: head[:8] == marks[0])
+    one("byte order", lambda: head[8] == 0)
+    one("format version", lambda: int.from_bytes(head[9:11], "little") <= 1)
+    one("codec and level", lambda: head[11] <= ZSTD and head[12] <= 22 and (head[11] == NONE) == (head[12] == 0))
+    one("filter", lambda: head[13] <= DELTA)
+    one("reserved bytes are zero", lambda: not any(head[14:16]) and not any(head[28:32]) and not any(head[432:968]))
+    one("header checksum", lambda: zlib.crc32(head[:1020]) == int.from_bytes(head[1020:1024], "little"))
+    header: Header | None = None
+    if one("header", lambda: Header.parse(head, marks[0])):
+        header = Header.parse(head, marks[0])
+    sections = sorted(((k, *v) for k, v in header.sections.items() if v[1]), key=lambda x: x[1]) if header else []
+    known = lambda f: (lambda: header is not None and f())
+    one("file size", known(lambda: header.counts["file_size"] == len(data)))
+    one("trailer", lambda: data[-8:] == marks[1])
+    one("sections are aligned", known(lambda: all(o % 8 == 0 for _, o, _ in sections)))
+    one("sections lie in the file", known(lambda: all(HEADER_BYTES <= o and o + n <= len(data) - 8 for _, o, n in sections)))
+    one("sections lie apart", known(lambda: all(a[1] + a[2] <= b[1] for a, b in zip(sections, sections[1:]))))
+    for name in ("A0", "A1", "A2", "A3", "B0", "B1", "B2", "B3", "E"):
+        one(f"{name} checksum", known(lambda name=name: not header.sections[name][1] or zlib.crc32(data[header.sections[name][0] : sum(header.sections[name])]) == header.checksums[name]))
+    f: RunFile | None = None
+    if one("tables and directories", lambda: RunFile.of_bytes(data, marks=marks)):
+        f = RunFile.of_bytes(data, marks=marks)
+    opened = lambda g: (lambda: f is not None and g())
+    one("element types", opened(lambda: all(np.isin(t["dtype"], list(S.DTYPE_BYTES)).all() for t in (f.a3, f.b3))))
+    one("block numbers", opened(lambda: all((t["block"] < max(len(f.blocks[k]), 1)).all() for t, k in ((f.a3, "spectra"), (f.b3, "chromatograms")))))
+    for name in ("spectra", "chromatograms"):
+        one(f"{name} blocks", opened(lambda name=name: [f._block(name, i, 1) for i in range(len(f.blocks[name]))]))
+    for name, of in (("A0", "spectra"), ("B0", "chromatograms")):
+        one(f"{name} window directory", opened(lambda name=name, of=of: not f.header.sections[name][1] or bool((f.windows(name)["item"] < f.header.counts[f"n_{of}"]).all())))
     for name in ("C", "D"):
-        one(f"{name} metadata", lambda name=name: f.header.counts[f"{name}_groups"] and list(f.metadata(name)))
-    one("spectrum arrays", lambda: [f.arrays(i) for i in range(len(f.a2))])
-    one("chromatogram arrays", lambda: [f.arrays(i, True) for i in range(len(f.b2))])
+        one(f"{name} metadata", opened(lambda name=name: f.header.counts[f"{name}_groups"] == 0 or bool(list(f.metadata(name)))))
+    one("E metadata", opened(lambda: list(f.global_metadata()) is not None))
+    one("spectrum arrays", opened(lambda: [f.arrays(i) for i in range(len(f.a2))] is not None))
+    one("chromatogram arrays", opened(lambda: [f.arrays(i, True) for i in range(len(f.b2))] is not None))
+    one("m/z in order", opened(lambda: not any((np.diff(f.values(i, S.MZ)) < 0).any() for i in range(len(f.a2)))))
+    one("rt in order", opened(lambda: not (np.diff(f.a1["rt"][np.isfinite(f.a1["rt"])]) < 0).any()))
     return out

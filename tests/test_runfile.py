@@ -160,3 +160,80 @@ def test_ranges_and_plans(tmp_path):
         with pytest.raises(S.BadRange):
             f.extracted_ion_ranges(bad)
     assert R.merge([(0, 10), (10, 5), (55, 5), (101, 1)], 40) == [(0, 60), (101, 1)]
+
+
+def test_checks_name_what_is_wrong(tmp_path):
+    path = str(tmp_path / "a.run")
+    W.write(path, items(20), CHROM)
+    good = open(path, "rb").read()
+    labels = [label for _, label, ok in R.check(path) if ok]
+    assert len(labels) == len(R.check(path)) >= 31
+    header = R.Header.parse(good[:1024])
+    for at, label in ((0, "signature"), (8, "byte order"), (14, "reserved bytes are zero"), (1000, "header checksum"), (header.sections["A1"][0], "A1 checksum"), (header.sections["spectra"][0], "spectra blocks"), (len(good) - 2, "trailer")):
+        open(path, "wb").write(good[:at] + bytes([good[at] ^ 0x55]) + good[at + 1 :])
+        assert label in [x for _, x, ok in R.check(path) if not ok]
+    open(path, "wb").write(good[:500])
+    assert not any(ok for _, label, ok in R.check(path) if label in ("header is whole", "trailer", "file size", "spectrum arrays"))
+
+
+def test_range_reads_take_few_blocks(tmp_path):
+    path, run = str(tmp_path / "a.run"), items(30)
+    W.write(path, run, level=1, block_size=2000)
+    f = R.RunFile.open(path)
+    read = []
+    inner = f._block
+    f._block = lambda name, number, stride: (read.append(number), inner(name, number, stride))[1]
+    for i, s in enumerate(run):
+        mz, y = (a["values"] for a in s["arrays"][:2])
+        got = f.in_range(i, 120.0, 139.5)
+        keep = (mz >= 120) & (mz <= 139.5)
+        assert np.array_equal(got[0], mz[keep]) and np.allclose(got[1], y[keep])
+    assert len(set(read)) < 0.4 * len(f.blocks["spectra"])
+    assert [r[11] for r in f.metadata_of(7)][1] == "scan=7" and f.element(7)["cvParam"][0]["_accession"] == "MS:1000511"
+    assert {"A0", "B0"} & {x[0] for x in f.touched()} == {"A0"}
+    with pytest.raises(S.OutOfRange):
+        f.in_range(30, 0, 1)
+
+
+def test_open_blocks_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "PENDING", 5000)
+    path, run = str(tmp_path / "a.run"), items(40)
+    W.write(path, run)
+    f = R.RunFile.open(path)
+    assert all(np.array_equal(f.values(i, "mz"), s["arrays"][0]["values"]) for i, s in enumerate(run)) and len(f.blocks["spectra"]) > 60
+    assert all(ok for _, _, ok in R.check(path))
+
+
+def test_orphans_are_swept(tmp_path):
+    path = str(tmp_path / "a.run")
+    (tmp_path / "a.run.999999999.tmp").write_text("x")
+    (tmp_path / "a.run.1.tmp").write_text("x")
+    W.write(path, items(2))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["a.run", "a.run.1.tmp"]
+
+
+def test_producers(spark, tmp_path):
+    from spectraframe.sources import memory as M
+
+    run = M.Memory([M.spectrum("a", [1.0, 2.0], [3.0, 4.0], rt=1.0, ms_level=1), M.spectrum("b", [], [])], [M.chromatogram("tic", [0.0], [7.0])], {"run": {"_id": "r"}})
+    path = str(tmp_path / "m.run")
+    M.write(run, path)
+    f = R.RunFile.open(path)
+    assert f.values(0, "mz").tolist() == [1.0, 2.0] and f.values(0, "time", True).tolist() == [0.0] and dict(f.head())["run"] == {"_id": "r"}
+
+    class Endless:
+        """A producer that makes its items as they are asked for."""
+
+        def head(self):
+            return {}
+
+        def spectra(self):
+            return (M.spectrum(f"s{i}", [float(i)], [1.0], rt=float(i)) for i in range(1000))
+
+        def chromatograms(self):
+            return iter(())
+
+    M.write(Endless(), path)
+    assert R.RunFile.open(path).header.counts["n_spectra"] == 1000
+    spectra, chroms = M.frames(spark, run)
+    assert [(r.id, len(r.arrays)) for r in spectra.orderBy("spectrum_index").collect()] == [("a", 2), ("b", 2)] and chroms.count() == 1
