@@ -111,3 +111,21 @@ def test_hashes_of_spans():
     h = C.hash_spans(values, starts, ends, C.Powers())
     again = [C.hash_spans(values[s:e], np.array([0]), np.array([e - s]), C.Powers())[0] for s, e in zip(starts, ends)]
     assert (h == np.array(again)).all()
+
+
+def test_measured_recall():
+    """Of pairs of lines just above the threshold nearly all share a band."""
+    rnd = random.Random(22)
+    lines, pairs = L.Lines(), []
+    while len(pairs) < 1500:
+        x = "".join(rnd.choice("abcdefghij klmnop") for _ in range(rnd.randrange(80, 400)))
+        y = list(x)
+        for _ in range(max(1, round(len(x) * 0.012))):
+            y[rnd.randrange(len(y))] = rnd.choice("xyz")
+        if 0.8 <= L.jaccard(x, "".join(y)) < 0.86:
+            pairs += [x, "".join(y)]
+    _, values, a, b, _, _, _ = lines(pa.array(["\n".join(pairs)]))
+    assert len(a) == len(pairs)
+    keys = L.signatures(lines, values, a, b)
+    met = (keys[::2] == keys[1::2]).any(1).mean()
+    assert met > 0.997, met

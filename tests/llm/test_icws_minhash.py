@@ -108,3 +108,23 @@ def test_matrix_of_similarities():
     got = C.jaccard_matrix(sets, dense=4, width=7)
     want = [[C.jaccard(*a, *b) for b in sets] for a in sets]
     assert np.allclose(got, want)
+
+
+def test_measured_recall():
+    """Of pairs of documents just above the threshold nearly all share a band."""
+    rnd = random.Random(21)
+    vocab = ["v%d" % i for i in range(3000)]
+    words, idf = C.Words(), np.log(np.random.default_rng(2).uniform(2, 500, 1 << M.IDF_BITS))
+    met = n = 0
+    while n < 1500:
+        x = [rnd.choice(vocab) for _ in range(rnd.randrange(150, 400))]
+        y = list(x)
+        for _ in range(max(1, round(len(x) * rnd.uniform(0.015, 0.03)))):
+            y[rnd.randrange(len(y))] = rnd.choice(vocab)
+        h, w, at = M.weighted_sets(*words(pa.array([" ".join(x), " ".join(y)])), idf)
+        s = C.jaccard(h[: at[1]], w[: at[1]], h[at[1] :], w[at[1] :])
+        if 0.8 <= s < 0.86:
+            a, b = M.bands(M.samples(h, w, at))
+            met += bool((a == b).any())
+            n += 1
+    assert met / n > 0.998, met / n
