@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -100,6 +100,28 @@ def precursors(spectra: DataFrame) -> DataFrame:
     return spectra.join(ids, ["run_id", "precursor_ref"], "left")
 
 
+# Accessions of a target's parameters where settings list them without an element of their own.
+TARGET_MZ, TARGET_NAME, TARGET_START, TARGET_END = "MS:1000827", "MS:1001225", "MS:1000502", "MS:1000747"
+
+
+def targets_of_params(params: DataFrame) -> DataFrame:
+    """Targets that params(item, row_no, accession, value) list: a new one begins with each target m/z, in their order.
+
+    Rows (item, target_no, row_no, accession, value); other parameters are left out.
+    """
+    own = params.where(F.col("accession").isin(TARGET_MZ, TARGET_NAME, TARGET_START, TARGET_END))
+    w = Window.partitionBy("item").orderBy("row_no")
+    begins = F.when((F.col("accession") == TARGET_MZ) | (F.row_number().over(w) == 1), 1).otherwise(0)
+    return own.withColumn("begins", begins).select("item", (F.sum("begins").over(w) - 1).alias("target_no"), "row_no", "accession", "value")
+
+
+def attach_arrays(stubs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Each decoded array with the first stub of its kind that has none yet: stubs(item, stub_no, accession) and
+    arrays(item, array_no, accession), each with its columns. Arrays without a stub and stubs without an array stay."""
+    nth = lambda by: F.row_number().over(Window.partitionBy("item", "accession").orderBy(by))
+    return stubs.withColumn("__nth", nth("stub_no")).join(arrays.withColumn("__nth", nth("array_no")), ["item", "accession", "__nth"], "full").drop("__nth")
+
+
 def without_described(own: DataFrame, described: DataFrame, key: str = "accession") -> DataFrame:
     """Parameters of items that their description does not have."""
     return own.join(described.select("item", key).distinct(), ["item", key], "left_anti")

@@ -349,6 +349,28 @@ def delta_round_trip(spark, sf_dir):
     return order.delta_decode(coded, "user_id", "event_id").select("event_id", "user_id", "value")
 
 
+@_query(
+    """SELECT coalesce(s.item, a.item) AS item, coalesce(s.accession, a.accession) AS accession, stub_no, array_no FROM
+    (SELECT user_id AS item, event_type AS accession, event_id AS stub_no, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 0) s FULL JOIN
+    (SELECT user_id AS item, event_type AS accession, event_id AS array_no, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events WHERE event_id % 3 = 0) a
+    ON s.item = a.item AND s.accession = a.accession AND s.k = a.k"""
+)
+def array_stubs(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    side = lambda n, name: e.where(F.col("event_id") % n == 0).select(F.col("user_id").alias("item"), F.col("event_type").alias("accession"), F.col("event_id").alias(name))
+    return metadata.attach_arrays(side(2, "stub_no"), side(3, "array_no")).select("item", "accession", "stub_no", "array_no")
+
+
+@_query(
+    """SELECT user_id AS item, CAST(sum(CASE WHEN event_type = 'click' OR k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS target_no, event_id AS row_no
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type IN ('click', 'view', 'purchase'))"""
+)
+def loose_targets(spark, sf_dir):
+    kind = F.create_map(*[F.lit(x) for x in ("click", "MS:1000827", "view", "MS:1000502", "purchase", "MS:1000747", "signup", "MS:1000001", "error", "MS:1000002")])
+    e = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_id").alias("row_no"), kind[F.col("event_type")].alias("accession"), F.col("value").cast("string").alias("value"))
+    return metadata.targets_of_params(e).select("item", "target_no", "row_no")
+
+
 @_query("SELECT doc_id, source, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM documents")
 def prefix_sum_offsets(spark, sf_dir):
     return order.running_offsets(A.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], "doc_id", "n_chars").select("doc_id", "source", "offset")

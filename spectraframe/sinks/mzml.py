@@ -40,9 +40,14 @@ def _cv(p: dict) -> dict:
 
 def _arrays(own: list[dict], arrays: list[dict], default: int, compress: bool) -> list[dict]:
     """binaryDataArray values: of the element's own ones all but type and compression, which are those of this text."""
-    out = []
+    out, free = [], list(own)
     for i, a in enumerate(arrays):
-        dtype, value = a["dtype"] or 1, dict(own[i]) if len(own) == len(arrays) else {}
+        # The element's own array at this place, or else the first of its kind that is left, or none.
+        kinds = lambda x: {E.accession_of(p.get("_accession"))[1] for p in x.get("cvParam", ())}
+        mine = own[i] if len(own) == len(arrays) else next((x for x in free if a["accession"] in kinds(x)), None)
+        if mine is not None and len(own) != len(arrays):
+            free.remove(mine)
+        dtype, value = a["dtype"] or 1, dict(mine or {})
         text, n = A.encode(a["values"], dtype, compress), len(a["values"])
         kept = [p for p in value.get("cvParam", ()) if p.get("_accession") not in TYPES and p.get("_accession") not in (ZLIB, PLAIN)]
         # Stored rows hold no names; what names the array needs one.

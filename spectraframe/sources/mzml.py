@@ -197,16 +197,31 @@ def heads(spark: SparkSession, path: str, charset: str | None = None) -> DataFra
 
 
 def targets(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
-    """(source_path, settings, target_no, mz, lo, hi) of the scan settings' targets: their m/z, with the offsets that are stated."""
-    out = None
+    """(source_path, settings, target_no, name, mz, lo, hi) of the scan settings' targets.
+
+    lo and hi are the stated bounds, or the m/z with the offsets that are stated. Settings without target elements may
+    list targets among their own parameters.
+    """
+    from ..operators import metadata
+
+    cells, own = None, None
     for tag, one in (("scanSettingsList", "scanSettings"), ("acquisitionSettingsList", "acquisitionSettings")):
-        x = head(spark, path, tag, charset).select("source_path", F.explode(one).alias("s"))
-        x = x.select("source_path", F.col("s._id").alias("settings"), F.posexplode("s.targetList.target").alias("target_no", "t"))
-        out = x if out is None else out.unionByName(x)
-    number = lambda *names: F.get(F.filter(F.col("t.cvParam"), lambda p: p["_accession"].isin(*names)), F.lit(0))["_value"].try_cast("double")
-    mz = number("MS:1000744", "MS:1000040", "MS:1000827")
-    lower, upper = F.coalesce(number("MS:1000828"), F.lit(0.0)), F.coalesce(number("MS:1000829"), F.lit(0.0))
-    return out.select("source_path", "settings", "target_no", mz.alias("mz"), (mz - lower).alias("lo"), (mz + upper).alias("hi"))
+        x = head(spark, path, tag, charset).select("source_path", F.posexplode(one).alias("settings_no", "s"))
+        x = x.select("source_path", F.struct("source_path", F.lit(tag).alias("tag"), "settings_no").alias("item"), F.col("s._id").alias("settings"), F.coalesce("s.targetList.target", F.array()).alias("t"), _params("s.cvParam").alias("p"))
+        listed = x.where(F.size("t") > 0).select("item", "settings", F.posexplode("t").alias("target_no", "t")).select("item", "settings", "target_no", F.explode(_params("t.cvParam")).alias("p"))
+        loose = x.where(F.size("t") == 0).select("item", "settings", F.posexplode("p").alias("row_no", "p"))
+        cells, own = (listed, loose) if cells is None else (cells.unionByName(listed), own.unionByName(loose))
+    found = metadata.targets_of_params(own.select("item", "row_no", F.col("p.accession").alias("accession"), F.col("p.value").alias("value")))
+    names = own.select("item", "settings").distinct()
+    cells = cells.select("item", "settings", "target_no", F.col("p.accession").alias("accession"), F.col("p.value").alias("value"))
+    cells = cells.unionByName(found.join(names, "item").select("item", "settings", "target_no", "accession", "value"))
+    said = lambda *a: F.max(F.when(F.col("accession").isin(*a), F.col("value")))
+    number = lambda *a: said(*a).try_cast("double")
+    mz, zero = number(metadata.TARGET_MZ, "MS:1000744", "MS:1000040"), F.lit(0.0)
+    lo = F.coalesce(number(metadata.TARGET_START), mz - F.coalesce(number("MS:1000828"), zero))
+    hi = F.coalesce(number(metadata.TARGET_END), mz + F.coalesce(number("MS:1000829"), zero))
+    out = cells.groupBy("item", "settings", "target_no").agg(said(metadata.TARGET_NAME).alias("name"), mz.alias("mz"), lo.alias("lo"), hi.alias("hi"))
+    return out.select(F.col("item.source_path").alias("source_path"), "settings", "target_no", "name", "mz", "lo", "hi")
 
 
 def index(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:

@@ -55,6 +55,11 @@ def test_reads_everything(spark, tmp_path):
     assert head["run"]["_startTimeStamp"] == "2007-06-27T15:23:45.00035" and head["run"]["cvParam"][0]["_accession"] == "MS:1000857" and head["spectrumList"]["_defaultDataProcessingRef"] == "dp"
     assert head["fileDescription"]["contact"][0]["cvParam"][0]["_value"] == "José Ñandú"
     assert [(t.mz, t.lo, t.hi) for t in mzml.targets(spark, path).orderBy("target_no").collect()] == [(1000.0, 1000.0, 1000.0), (1200.5, 1200.0, 1202.0)]
+    loose = full().replace('<targetList count="2">', "<gone>", 1)
+    a, b = loose.index("<gone>"), loose.index("</targetList>") + len("</targetList>")
+    listed = "".join(cv(f"MS:{n}", "x", v) for n, v in ((1000827, 5), (1001225, "one"), (1000502, 4), (1000747, 7), (1000827, 9)))
+    other = save(tmp_path / "loose.mzML", loose[:a] + listed + loose[b:])
+    assert [(t.name, t.mz, t.lo, t.hi) for t in mzml.targets(spark, other).orderBy("target_no").collect()] == [("one", 5.0, 4.0, 7.0), (None, 9.0, 9.0, 9.0)]
     assert mzml.dangling_references(spark, path).count() == 0
     bad = save(tmp_path / "bad.mzML", full().replace('<precursor spectrumRef="scan=19">', '<precursor spectrumRef="scan=99">'))
     assert [(r.kind, r.ref) for r in mzml.dangling_references(spark, bad).collect()] == [("spectrum", "scan=99")]

@@ -145,3 +145,33 @@ def test_stream_finds_falling_rt(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.spectrum_index, r.previous_rt) for r in spark.table("falls").collect()] == [(4, 4.0)]
+
+
+def test_plans(spark):
+    """Plans keep what was meant: bounded ranks before the shuffle, no nested loops, no window over one partition."""
+    spectra, peaks = _run(spark)
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text(scans.top_peaks(peaks, 2))
+    counted = spectra.withColumn("n_peaks", F.when(F.col("spectrum_index") == 2, 0).otherwise(1))
+    plan = text(scans.scans_in(counted, peaks, scans.Range(120, 135)))
+    assert "LeftSemi" not in plan
+    assert {r.spectrum_index for r in scans.scans_in(counted, peaks, scans.Range(120, 135)).collect()} == {0, 1, 3, 4}
+    wide = spark.createDataFrame([(i, i / 10, i / 10 + 0.01) for i in range(50)] + [(99, 0.0, 400.0), (100, -math.inf, math.inf), (101, 5.0, 5.0)], "target_id int, lo double, hi double")
+    pick = lambda df: sorted((r.target_id, r.mz) for r in df.collect())
+    many = spark.range(3000).selectExpr("id / 250.0D AS mz").withColumn("mz_bin", fn.window_index(F.col("mz")))
+    want = pick(many.join(wide, (F.col("mz") >= F.col("lo")) & (F.col("mz") <= F.col("hi"))))
+    assert pick(rangejoin.range_join(many, wide)) == want == pick(rangejoin.range_join(many, wide, salt=2)) and len(want) > 6000
+    assert rangejoin.range_join(many, wide.limit(0)).count() == 0
+
+
+def test_global_ordinals_and_ranges(spark):
+    rows = [(None, i) for i in range(5)] + [(i % 7, i) for i in range(300)] + [(3, 1000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    got = sorted((r.ordinal, r.a, r.b) for r in order.global_ordinals(df, ["a", "b"], parts=5).collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(a, b) for _, a, b in got] == want and [n for n, _, _ in got] == list(range(len(rows)))
+    assert order.global_ordinals(df.limit(0), ["a", "b"]).count() == 0
+    ranges = [(5, 10), (0, 3), (3, 1), (100, 0), (14, 1), (60, 1000), (70, 5), (2000, 1), (1061, 3), (1 << 40, 7)]
+    for parts in (1, 3, 256):
+        got = sorted((r.offset, r.length) for r in planning.merge_ranges(spark.createDataFrame(ranges, "offset long, length long"), 1, parts=parts).collect())
+        assert got == [(0, 15), (60, 1004), (2000, 1), (1 << 40, 7)], (parts, got)
