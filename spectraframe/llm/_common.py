@@ -359,7 +359,7 @@ def jaccard(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray) -> float
     return float(low / (v.sum() + w.sum() - low))
 
 
-def jaccard_matrix(sets: list[tuple[np.ndarray, np.ndarray]], dense: int = 8, width: int = 2048) -> np.ndarray:
+def jaccard_matrix(sets: list[tuple[np.ndarray, np.ndarray]], dense: int = 8, width: int = 256) -> np.ndarray:
     """Weighted Jaccard similarities of all sets (hashes, weights) with each other.
 
     A weight is a stack of steps between the weights that its hash has in these sets, so a minimum is the sum of

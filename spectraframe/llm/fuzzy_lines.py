@@ -184,7 +184,14 @@ def _sets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     if not len(ends):
         return []
     h, offsets = lines.shingles(values, ends - [len(t) for t in said], ends)
-    return [(x, np.broadcast_to(1.0, len(x))) for x in (np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))]
+    ones, out = np.ones(int(np.diff(offsets).max())), []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        x = h[a:b]
+        x.sort()
+        new = x[1:] != x[:-1]
+        x = x.copy() if new.all() else x[np.append(True, new)]
+        out.append((x, ones[: len(x)]))
+    return out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
