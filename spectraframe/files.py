@@ -29,10 +29,16 @@ def counters(results: DataFrame) -> DataFrame:
     return statuses.join(results.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def kind_of(path: str) -> str:
-    """What a path holds, by its extension in any case: mzml, run, or dataset."""
+def kind_of(path: str, spark: SparkSession | None = None) -> str:
+    """What a path holds, by its extension in any case: mzml, run, or dataset; with a session by its first bytes as well."""
     lower = path.lower().rstrip("/")
-    return "mzml" if lower.endswith(".mzml") else "run" if lower.endswith(".run") else "dataset"
+    kind = "mzml" if lower.endswith(".mzml") else "run" if lower.endswith(".run") else "dataset"
+    if kind == "dataset" and spark is not None:
+        from .sources import mzml, runfile
+
+        head = mzml.first_bytes(spark, path, 8)
+        kind = "mzml" if head.lstrip(b"\xef\xbb\xbf \r\n\t").startswith(b"<") else "run" if head == runfile.SIGNATURE else kind
+    return kind
 
 
 def convert(spark: SparkSession, source: str, target: str, kind: str = "auto", width: float = S.MZ_WIDTH, compress: bool = False, level: int = 12, force_f32: bool = False) -> str:
@@ -49,8 +55,8 @@ def convert(spark: SparkSession, source: str, target: str, kind: str = "auto", w
     fn.positive(width, "mz_width")
     store = lambda df, name: df.write.option("compression", "zstd").parquet(f"{target}/{name}")
     if kind == "auto":
-        kind = "to_parquet" if kind_of(source) != "dataset" else "to_mzml"
-    if kind == "to_parquet" and kind_of(source) == "run":
+        kind = "to_parquet" if kind_of(source, spark) != "dataset" else "to_mzml"
+    if kind == "to_parquet" and kind_of(source, spark) == "run":
         contents = spark.read.format("binaryFile").load(source).select("path", "content")
         table = lambda name: runfile.read_contents(contents, name)
         named = lambda df, index: df.withColumn("id", F.coalesce(F.nullif(F.get_json_object("element", "$._id"), F.lit("")), F.concat(F.lit("index="), F.col(index))))

@@ -82,7 +82,10 @@ def open_ranges(sections: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def require_windows(peaks: DataFrame) -> DataFrame:
-    """peaks, if it has window numbers; else raises."""
-    if "mz_bin" not in peaks.columns:
-        raise S.Malformed("the dataset has no window numbers")
+    """peaks, if it has window numbers; without them raises Missing, and Malformed if they are no whole numbers."""
+    kind = dict(peaks.dtypes).get("mz_bin")
+    if kind is None:
+        raise S.Missing("the dataset has no window numbers")
+    if kind not in ("bigint", "int"):
+        raise S.Malformed(f"window numbers of type {kind}")
     return peaks

@@ -66,5 +66,9 @@ class Malformed(SpectraError):
     pass
 
 
+class Missing(Malformed):
+    """A part that a read needs isn't there at all."""
+
+
 class Unsupported(SpectraError):
     pass

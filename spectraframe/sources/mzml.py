@@ -89,23 +89,27 @@ HEAD = {
 }
 
 
-def declared_charset(spark: SparkSession, path: str) -> str:
-    """The encoding that the first document of a path declares, by its first bytes; UTF-8 if it says nothing."""
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+def first_bytes(spark: SparkSession, path: str, n: int = 120) -> bytes:
+    """The first bytes of a file, or of the first file of a folder or pattern, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop = place(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     found = sorted(str(x.getPath()) for x in (fs.globStatus(hadoop) or ()))
-    while found and fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(found[0])).isDirectory():
-        inside = [x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(found[0]))]
+    while found and fs.getFileStatus(place(found[0])).isDirectory():
+        inside = [x.getPath() for x in fs.listStatus(place(found[0]))]
         found = sorted(str(x) for x in inside if not x.getName().startswith((".", "_")))
     if not found:
-        return "UTF-8"
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(found[0]))
+        return b""
+    stream = fs.open(place(found[0]))
     try:
-        head = bytes(b & 0xFF for b in (stream.read() for _ in range(120)) if b >= 0)
+        return bytes(b & 0xFF for b in (stream.read() for _ in range(n)) if b >= 0)
     finally:
         stream.close()
-    said = re.search(rb"""encoding\s*=\s*["']([\w.-]+)""", head)
+
+
+def declared_charset(spark: SparkSession, path: str) -> str:
+    """The encoding that the first document of a path declares; UTF-8 if it says nothing."""
+    said = re.search(rb"""encoding\s*=\s*["']([\w.-]+)""", first_bytes(spark, path))
     return said[1].decode() if said else "UTF-8"
 
 
@@ -336,7 +340,11 @@ def spectra(spark: SparkSession, path: str, charset: str | None = None) -> DataF
 
     spectrum_index is the element's own index, else its place in its file.
     """
-    x = _numbered(rows(spark, path, "spectrum", SPECTRUM, charset), "spectrum_index")
+    return typed_spectra(_numbered(rows(spark, path, "spectrum", SPECTRUM, charset), "spectrum_index"))
+
+
+def typed_spectra(x: DataFrame) -> DataFrame:
+    """What `spectra` gives, of raw elements with a source_path and a spectrum_index; of streams as well."""
     d = lambda name: F.coalesce(F.col(name), F.col(f"spectrumDescription.{name}"))
     own = _params("cvParam")
     described = F.filter(_params("spectrumDescription.cvParam"), lambda p: ~F.exists(own, lambda q: q["accession"] == p["accession"]))
@@ -427,6 +435,8 @@ def parameters(spectra_: DataFrame) -> DataFrame:
     return spectra_.select("source_path", "spectrum_index", F.posexplode(parts).alias("row_no", "p")).select("source_path", "spectrum_index", "row_no", "p.*")
 
 
-def stream(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
-    """Raw spectrum elements of the files of a folder as they come."""
-    return spark.readStream.format("xml").option("rowTag", "spectrum").option("charset", _charset(spark, path, charset)).schema(SPECTRUM).load(path)
+def stream(spark: SparkSession, path: str, charset: str | None = None, files_per_trigger: int = 100) -> DataFrame:
+    """Spectra of the files of a folder as they come, as `spectra` gives them; those without an index have none."""
+    reader = spark.readStream.format("xml").option("rowTag", "spectrum").option("charset", _charset(spark, path, charset)).option("maxFilesPerTrigger", files_per_trigger)
+    raw = reader.schema(SPECTRUM).load(path).withColumn("source_path", F.input_file_name())
+    return typed_spectra(raw.withColumn("spectrum_index", F.col("_index").try_cast("long")))

@@ -258,7 +258,7 @@ class RunFile:
     def _windows(self, name: str) -> dict[str, np.ndarray]:
         length = self.header.sections[name][1]
         if not length:
-            raise S.Malformed(f"{name} is missing")
+            raise S.Missing(f"{name} is missing")
         x = np.frombuffer(unpack(self.section(name), self.header.counts[f"{name}_plain"], self.header.codec, self.most), "<u4")
         if len(x) < 2 or len(x) != 3 + int(x[0]) + 3 * int(x[1]):
             raise S.Malformed(name)

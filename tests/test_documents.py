@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 import numpy as np
 import pytest
 from documents import TYPES, array, arrays, cv, document, full, legacy
+from pyspark.sql import functions as F
 
 from spectraframe import cli, files
 from spectraframe import schema as S
@@ -193,6 +194,32 @@ def test_numbers_without_an_index(spark, tmp_path):
     assert len(rows) == 1800 and all(r.id == f"s{r.spectrum_index}" for r in rows)
 
 
+def test_streams_of_documents(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    save(source / "one.mzML", full())
+    q = mzml.stream(spark, str(source)).select("id", "ms_level", "rt", F.size("arrays").alias("n")).writeStream.format("memory").queryName("documents").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.id, r.ms_level, r.n) for r in spark.table("documents").collect()) == [("sample=1 cycle=22", 1, 2), ("scan=19", 1, 2), ("scan=20", 2, 3), ("scan=21", 1, 0)]
+
+
+def test_kinds_of_files(spark, tmp_path):
+    from spectraframe.operators import planning
+    from spectraframe.sinks import runfile as W
+
+    path = save(tmp_path / "no_extension", full())
+    W.write(str(tmp_path / "other"), [{"id": "a", "arrays": []}])
+    assert files.kind_of(path, spark) == "mzml" and files.kind_of(str(tmp_path / "other"), spark) == "run" and files.kind_of(str(tmp_path), None) == "dataset"
+    f = runfile.RunFile.open(str(tmp_path / "other"))
+    with pytest.raises(S.Missing):
+        f.windows()
+    with pytest.raises(S.Missing):
+        planning.require_windows(spark.range(1))
+    with pytest.raises(S.Malformed):
+        planning.require_windows(spark.sql("SELECT 'a' AS mz_bin"))
+
+
 def test_broken_and_closed_elements(spark, tmp_path):
     path = save(tmp_path / "c.mzML", document("", '<run id="r">', ['<spectrum index="0" id="a" defaultArrayLength="0"/>', '<spectrum index="1" id="b"><cvParam accession="MS:1000511" name="ms level" value="2"/></spectrum>', '<spectrum index="2" id="c"/>']))
     assert [(r.spectrum_index, r.id, r.ms_level) for r in mzml.spectra(spark, path).orderBy("spectrum_index").collect()] == [(0, "a", 0), (1, "b", 2), (2, "c", 0)]
