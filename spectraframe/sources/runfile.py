@@ -167,6 +167,13 @@ class RunFile:
             if offset < end or offset % 8 or offset + length > self.size:
                 raise S.Malformed(f"section at {offset}")
             end = offset + length
+        s, c = self.header.sections, self.header.counts
+        for name, count in (("spectra", "spectrum_blocks"), ("chromatograms", "chromatogram_blocks"), ("C", "C_groups"), ("D", "D_groups")):
+            if c[count] * DIRECTORY.itemsize > s[name][1]:
+                raise S.Malformed(f"{name}: more entries than its section can hold")
+        for name, count in (("C", "n_spectra"), ("D", "n_chromatograms")):
+            if c["group_items"] and c[f"{name}_groups"] != -(-c[count] // c["group_items"]):
+                raise S.Malformed(f"{name}: groups differ from the number of items")
         if self.read(self.size - 8, 8) != self.trailer:
             raise S.Malformed("bad trailer")
 

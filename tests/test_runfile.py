@@ -237,3 +237,14 @@ def test_producers(spark, tmp_path):
     assert R.RunFile.open(path).header.counts["n_spectra"] == 1000
     spectra, chroms = M.frames(spark, run)
     assert [(r.id, len(r.arrays)) for r in spectra.orderBy("spectrum_index").collect()] == [("a", 2), ("b", 2)] and chroms.count() == 1
+
+
+def test_counts_must_fit(tmp_path):
+    path = str(tmp_path / "a.run")
+    W.write(path, items(5))
+    good = open(path, "rb").read()
+    for field, value in (("spectrum_blocks", 1 << 40), ("C_groups", 9), ("n_spectra", 1 << 20)):
+        h = R.Header.parse(good[:1024])
+        h.counts[field] = value
+        with pytest.raises(S.Malformed):
+            R.RunFile.of_bytes(h.pack() + good[1024:])
