@@ -213,7 +213,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # Lines that occur once and have no link stay; only the others are followed up.
     named = first.join(parts.withColumnRenamed("component_id", "c"), "id", "left").where("n > 1 or c is not null").withColumn("c", F.coalesce("c", "id"))
     named = C.materialize(named.select("id", "c", "first"), "named")
-    kept = named.groupBy("c").agg(F.min("first").alias("kept"))
+    # Written, so that the join has its own exchange of either side: a component of very many lines can be split then.
+    kept = C.materialize(named.groupBy("c").agg(F.min("first").alias("kept")), "kept")
     follow = named.select("id", "c").join(kept, "c").select("id", "kept")
     gone = found.select("id", "doc_id", "row_key", "line_no").join(follow, "id").where(place != F.col("kept"))
     return gone.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("line_no")).alias("line_nos"))

@@ -218,7 +218,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     made, sets = _classes(docs, threshold)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "doc")
     classed = made.join(sets, "same").select("doc", "part", order.alias("o"))
-    first = classed.groupBy("part").agg(F.min("o").alias("first"))
+    # Written, so that the join has its own exchange of either side: a class of very many documents can be split then.
+    first = C.materialize(classed.groupBy("part").agg(F.min("o").alias("first")), "first")
     gone = C.materialize(classed.join(first, "part").where(F.col("o.doc") != F.col("first.doc")).select("doc").distinct(), "gone")
     again = C.materialize(made.where("same is not null").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "again")
     row = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("doc"))
