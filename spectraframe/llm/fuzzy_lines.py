@@ -33,9 +33,9 @@ SLICE, BLOCK = 1 << 19, 1 << 16
 PAD = 16
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    k = np.arange(BANDS * ROWS, dtype=C.U64)
-    return (C.mix(k, 41) >> C.U64(32)).astype(np.uint32) | np.uint32(1), (C.mix(k, 42) >> C.U64(32)).astype(np.uint32)
+def _multipliers() -> np.ndarray:
+    """Odd numbers: multiplied by one, the shingles' hashes, which are mixed already, come in another order."""
+    return (C.mix(np.arange(BANDS * ROWS, dtype=C.U64), 41) >> C.U64(32)).astype(np.uint32) | np.uint32(1)
 
 
 class Lines:
@@ -105,12 +105,12 @@ def _keys(lines: Lines, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
     place = np.arange(int(begin[-1]) * PAD) - np.repeat(begin[:-1] * PAD, columns * PAD)
     place = np.where(place < np.repeat(n, columns * PAD), place, 0) + np.repeat(offsets[:-1], columns * PAD)
     x = np.ascontiguousarray((h >> C.U64(32)).astype(np.uint32)[place].reshape(-1, PAD).T)
-    mul, add = _multipliers()
+    mul, y = _multipliers(), np.empty_like(x)
     for band in range(BANDS):
         acc = np.full(len(a), C.U64(band))
         for r in range(ROWS):
             k = band * ROWS + r
-            least = np.minimum.reduceat((x * mul[k] + add[k]).min(axis=0), begin[:-1])
+            least = np.minimum.reduceat(np.multiply(x, mul[k], out=y).min(axis=0), begin[:-1])
             acc = C.mix(acc * C.U64(0xD6E8FEB86659FD93) + least, 43)
         out[:, band] = acc
     return out
