@@ -74,6 +74,24 @@ def delta_decode(table: DataFrame, by: str, order: str, delta: str = "delta", ou
     return table.withColumn(out, F.sum(delta).over(w))
 
 
+def cuts_of(sample: list, parts: int) -> list:
+    """Values that cut a sample into `parts` stretches, or fewer."""
+    values = sorted(set(sample))
+    return [values[len(values) * k // parts] for k in range(1, parts)] if len(values) > parts else values[1:]
+
+
+def stretch(value: Column, cuts: list) -> Column:
+    """The number of cuts at or below the value, by halves; NaN is above all."""
+
+    def of(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(cuts[mid]), of(lo, mid)).otherwise(of(mid + 1, hi))
+
+    return of(0, len(cuts))
+
+
 def global_ordinals(table: DataFrame, order: list[str], out: str = "ordinal", parts: int = 64) -> DataFrame:
     """Numbers from 0 over the whole table by `order`, without a single-partition window.
 
@@ -83,17 +101,8 @@ def global_ordinals(table: DataFrame, order: list[str], out: str = "ordinal", pa
     first = order[0]
     n = table.count()
     sample = table.select(first).where(F.col(first).isNotNull()).sample(min(1.0, 100 * parts / max(n, 1)), 11).collect()
-    values = sorted({r[0] for r in sample})
-    cuts = [values[len(values) * k // parts] for k in range(1, parts)] if len(values) > parts else values[1:]
-
-    def stretch(lo: int, hi: int):
-        """The number of cuts at or below the value, by halves."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(first) < F.lit(cuts[mid]), stretch(lo, mid)).otherwise(stretch(mid + 1, hi))
-
-    part = F.when(F.col(first).isNull(), F.lit(-1)).otherwise(stretch(0, len(cuts)))  # nulls first, as in the order
+    cuts = cuts_of([r[0] for r in sample], parts)
+    part = F.when(F.col(first).isNull(), F.lit(-1)).otherwise(stretch(F.col(first), cuts))  # nulls first, as in the order
     ordered = table.withColumn("__p", part).withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each stretch
     base = table.groupBy(part.alias("__p")).agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
